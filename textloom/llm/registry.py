@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op8_bpe
+from .jaccard import op7_jaccard
 from .langid import op10_langid
 from .mixing import OP6_SQL, op6_mixing
 from .quality import op3_quality
@@ -19,6 +20,7 @@ def queries() -> dict:
         "op3_quality": op3_quality,
         "op4_sharding": op4_sharding,
         "op6_mixing": op6_mixing,
+        "op7_jaccard": op7_jaccard,
         "op8_bpe": op8_bpe,
         "op9_toxicity": op9_toxicity,
         "op10_langid": op10_langid,
