@@ -8,6 +8,7 @@ from .langid import op10_langid
 from .mixing import OP6_SQL, op6_mixing
 from .quality import op3_quality
 from .sharding import op4_sharding
+from .substring import op5_substring
 from .topk import OP2_SQL, op2_topk
 from .toxicity import op9_toxicity
 from .warc import OP1_SQL, op1_warc
@@ -19,6 +20,7 @@ def queries() -> dict:
         "op2_topk": op2_topk,
         "op3_quality": op3_quality,
         "op4_sharding": op4_sharding,
+        "op5_substring": op5_substring,
         "op6_mixing": op6_mixing,
         "op7_jaccard": op7_jaccard,
         "op8_bpe": op8_bpe,
