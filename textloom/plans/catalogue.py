@@ -1,28 +1,359 @@
-"""Named queries over the standard tables, one for each operator, with equivalent SQL."""
+"""Named queries over the standard tables, one or more for each operator, with equivalent SQL where SQL has one.
+
+Arrays are shown joined, so both sides compare plain values. Every query runs over its whole tables.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions import cipher, hashing, search, split, transform, unicode
+from ..functions.kernels import Classes, Costs
+from ..operators import collection, fingerprints, similarity
+from ..sources import collections as sources
+from ..streaming import digests
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def simple(name: str, table: str, key: str, sql: str | None = None, where=None, **columns) -> None:
+    """Registers a query that computes columns of a table beside its key. where, columns: functions without arguments."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = _table(spark, sf_dir, table)
+        if where is not None:
+            df = df.where(where())
+        return df.select(key, *(f().alias(c) for c, f in columns.items()))
+
+    _QUERIES[name] = run
+    if sql:
+        _SQL[name] = sql
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _joined(parts, sep: str = "|"):
+    return F.concat_ws(sep, parts)
+
+
+def _numbers(parts):
+    return F.concat_ws(",", F.transform(parts, lambda x: x.cast("string")))
+
+
+def _size(parts):
+    return F.size(parts).cast("long")
+
+
+@query("SELECT doc_id, (strlen(text) - strlen(replace(text, 'the', ''))) // 3 AS n, strlen(split_part(text, 'the', 1)) AS first_byte FROM documents WHERE contains(text, 'the') ORDER BY n DESC, doc_id LIMIT 10")
 def top_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = F.col("text")
-    hits = (F.octet_length(x) - F.octet_length(F.replace(x, F.lit("the"), F.lit("")))) / 3
-    return (
-        _table(spark, sf_dir, "documents").where(x.contains("the"))
-        .select("doc_id", hits.cast("long").alias("n"), F.octet_length(F.substring_index(x, "the", 1)).cast("long").alias("first_byte"))
-        .orderBy(F.desc("n"), "doc_id").limit(10)
-    )
+    docs = _table(spark, sf_dir, "documents").where(search.contains("text", "the"))
+    hits = docs.select("doc_id", search.count("text", "the").alias("n"), F.octet_length(F.substring_index("text", "the", 1)).cast("long").alias("first_byte"))
+    return hits.orderBy(F.desc("n"), "doc_id").limit(10)
+
+
+# Predicates and comparisons
+
+simple("contains_docs", "documents", "doc_id", "SELECT doc_id, lang FROM documents WHERE contains(text, 'tion')", where=lambda: search.contains("text", "tion"), lang=lambda: F.col("lang"))
+simple("contains_window", "pages", "page_id", "SELECT page_id, contains(substr(url, 9, 12), 'a') AS hit, starts_with(substr(url, 9), 'e') AS head, ends_with(left(url, length(url) - 2), '1') AS tail FROM pages", hit=lambda: search.contains("url", "a", 8, 20), head=lambda: search.startswith("url", "e", 8), tail=lambda: search.endswith("url", "1", 0, -2))
+simple("prefix_suffix_filter", "documents", "doc_id", "SELECT doc_id, source FROM documents WHERE starts_with(text, 'The') AND ends_with(text, '.')", where=lambda: search.startswith("text", "The") & search.endswith("text", "."), source=lambda: F.col("source"))
+simple("compare_texts", "customer", "c_custkey", "SELECT c_custkey, c_name = c_mktsegment AS same, CASE WHEN c_mktsegment < 'FURNITURE' THEN -1 WHEN c_mktsegment > 'FURNITURE' THEN 1 ELSE 0 END AS ord FROM customer", same=lambda: search.equal("c_name", "c_mktsegment"), ord=lambda: search.order("c_mktsegment", F.lit("FURNITURE")))
+simple(
+    "ascii_class_predicates", "part", "p_partkey",
+    "SELECT p_partkey, regexp_full_match(p_name, '[A-Za-z]+') AS alpha, regexp_full_match(p_brand, '[A-Za-z0-9]+') AS alnum, regexp_full_match(p_name, '[a-z]+') AS low, regexp_full_match(p_type, '[A-Z]+') AS up, regexp_full_match(p_brand, '[0-9]+') AS digit, regexp_full_match(p_name, '[\\x00-\\x7F]*') AS ascii, regexp_full_match(p_name, '[a-z ]+') AS only_lower FROM part",
+    alpha=lambda: transform.is_alpha("p_name"), alnum=lambda: transform.is_alnum("p_brand"), low=lambda: transform.is_lower("p_name"), up=lambda: transform.is_upper("p_type"), digit=lambda: transform.is_digit("p_brand"), ascii=lambda: transform.is_ascii("p_name"), only_lower=lambda: transform.contains_only("p_name", transform.CLASSES["lower"] + " "),
+)
+
+# Search
+
+simple("find_first_byte", "documents", "doc_id", "SELECT doc_id, CASE WHEN contains(text, 'tion') THEN strlen(split_part(text, 'tion', 1)) ELSE -1 END AS found_at FROM documents", found_at=lambda: search.find("text", "tion"))
+simple("rfind_last_byte", "documents", "doc_id", "SELECT doc_id, CASE WHEN contains(text, 'en ') THEN strlen(text) - strlen(string_split(text, 'en ')[-1]) - 3 ELSE -1 END AS found_at FROM documents", found_at=lambda: search.rfind("text", "en "))
+simple("find_window", "pages", "page_id", "SELECT page_id, CASE WHEN instr(substr(url, 9, 30), '/') > 0 THEN instr(substr(url, 9, 30), '/') + 7 ELSE -1 END AS found_at FROM pages", found_at=lambda: search.find("url", "/", 8, 38))
+simple("index_byte", "pages", "page_id", "SELECT page_id, instr(url, ':') - 1 AS found_at, length(url) - instr(reverse(url), '/') AS last_at FROM pages WHERE contains(url, '://')", where=lambda: search.contains("url", "://"), found_at=lambda: search.index("url", ":"), last_at=lambda: search.rindex("url", "/"))
+simple("find_first_of", "pages", "page_id", "SELECT page_id, CASE WHEN regexp_matches(url, '[0-9]') THEN length(regexp_extract(url, '^[^0-9]*')) ELSE -1 END AS found_at FROM pages", found_at=lambda: search.find_first_of("url", transform.CLASSES["digits"]))
+simple("find_last_of", "pages", "page_id", "SELECT page_id, CASE WHEN regexp_matches(url, '[/.]') THEN length(regexp_replace(url, '[^/.]*$', '')) - 1 ELSE -1 END AS found_at FROM pages", found_at=lambda: search.find_last_of("url", "/."))
+simple("find_first_not_of", "pages", "page_id", "SELECT page_id, CASE WHEN regexp_matches(url, '[^a-z]') THEN length(regexp_extract(url, '^[a-z]*')) ELSE -1 END AS found_at FROM pages", found_at=lambda: search.find_first_not_of("url", transform.CLASSES["lower"]))
+simple("find_last_not_of", "pages", "page_id", "SELECT page_id, length(regexp_replace(url, '[0-9a-z]*$', '')) - 1 AS found_at FROM pages", found_at=lambda: search.find_last_not_of("url", transform.CLASSES["lower"] + transform.CLASSES["digits"]))
+simple("find_all", "pages", "page_id", "SELECT page_id, coalesce(array_to_string(list_filter(range(0, length(url)), lambda i: substr(url, i + 1, 1) = '/'), ','), '') AS found_at FROM pages", found_at=lambda: _numbers(search.matches("url", "/")))
+simple("find_all_disjoint", "benchmark", "item_id", "SELECT item_id, (strlen(text) - strlen(replace(text, 'th', ''))) // 2 AS n, CASE WHEN contains(text, 'th') THEN strlen(split_part(text, 'th', 1)) END AS first FROM benchmark", n=lambda: _size(search.matches("text", "th", overlapping=False)), first=lambda: F.get(search.matches("text", "th", overlapping=False), F.lit(0)))
+simple("count_disjoint", "documents", "doc_id", "SELECT doc_id, (strlen(text) - strlen(replace(text, 'an', ''))) // 2 AS n FROM documents", n=lambda: search.count("text", "an"))
+simple("count_overlap", "pages", "page_id", "SELECT page_id, len(list_filter(range(1, length(url)), lambda i: substr(url, i, 2) = 'ww')) AS n FROM pages", n=lambda: search.count("url", "ww", allowoverlap=True))
+simple("count_byteset", "documents", "doc_id", "SELECT doc_id, strlen(text) - strlen(translate(text, 'aeiou', '')) AS n FROM documents", n=lambda: search.count_byteset("text", "aeiou"))
+simple("partition_url", "pages", "page_id", "SELECT page_id, split_part(url, '://', 1) AS head, CASE WHEN contains(url, '://') THEN '://' ELSE '' END AS sep, CASE WHEN contains(url, '://') THEN substr(url, length(split_part(url, '://', 1)) + 4) ELSE '' END AS tail FROM pages", head=lambda: search.partition("url", "://").head, sep=lambda: search.partition("url", "://").sep, tail=lambda: search.partition("url", "://").tail)
+simple("rpartition_path", "pages", "page_id", "SELECT page_id, CASE WHEN contains(url, '/') THEN left(url, length(url) - length(string_split(url, '/')[-1]) - 1) ELSE '' END AS head, string_split(url, '/')[-1] AS tail FROM pages", head=lambda: search.rpartition("url", "/").head, tail=lambda: search.rpartition("url", "/").tail)
+
+# Splitting
+
+
+@query("SELECT item_id, generate_subscripts(string_split(text, ' '), 1) - 1 AS pos, unnest(string_split(text, ' ')) AS part FROM benchmark")
+def split_words_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = split.explode_parts(_table(spark, sf_dir, "benchmark"), split.split("text"))
+    return rows.select("item_id", F.col("pos").cast("long").alias("pos"), "part")
+
+
+@query("SELECT item_id, generate_subscripts(string_split(text, ' '), 1) - 1 AS pos, unnest(list_reverse(string_split(text, ' '))) AS part FROM benchmark")
+def rsplit_iter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = split.explode_parts(_table(spark, sf_dir, "benchmark"), split.rsplit("text"), backward=True)
+    return rows.select("item_id", F.col("pos").cast("long").alias("pos"), "part")
+
+
+simple("split_maxsplit", "benchmark", "item_id", "SELECT item_id, array_to_string(string_split(text, ' ')[1:2], '|') || '|' || array_to_string(string_split(text, ' ')[3:], ' ') AS parts FROM benchmark", parts=lambda: _joined(split.split("text", " ", 2)))
+simple("rsplit_max1", "pages", "page_id", "SELECT page_id, array_to_string(string_split(url, '/')[:-2], '/') || '|' || string_split(url, '/')[-1] AS parts FROM pages", parts=lambda: _joined(split.rsplit("url", "/", 1)))
+simple("split_keepsep", "pages", "page_id", "SELECT page_id, replace(url, '/', '/|') AS parts FROM pages", parts=lambda: _joined(split.split("url", "/", keepseparator=True)))
+simple("rsplit_keepsep", "pages", "page_id", "SELECT page_id, replace(url, '/', '|/') AS parts FROM pages", parts=lambda: _joined(split.rsplit("url", "/", keepseparator=True)))
+simple("split_skip_empty", "pages", "page_id", "SELECT page_id, array_to_string(list_filter(string_split(url, '/'), lambda p: p <> ''), '|') AS parts FROM pages", parts=lambda: _joined(split.split("url", "/", skip_empty=True)))
+simple("split_byteset", "pages", "page_id", "SELECT page_id, array_to_string(string_split_regex(url, '[/.:]'), '|') AS parts FROM pages", parts=lambda: _joined(split.split_byteset("url", "/.:")))
+simple("rsplit_byteset", "pages", "page_id", "SELECT page_id, regexp_replace(url, '^(.*)[/.:]([^/.:]*)$', '\\1|\\2') AS parts FROM pages", parts=lambda: _joined(split.rsplit_byteset("url", "/.:", 1)))
+simple("splitlines", "documents", "doc_id", "SELECT doc_id, CASE WHEN text = '' THEN 0 ELSE len(string_split_regex(text, '[\\n\\v\\f\\r\\x1c-\\x1e]')) - CASE WHEN regexp_matches(text, '[\\n\\v\\f\\r\\x1c-\\x1e]$') THEN 1 ELSE 0 END END AS n, sha256(regexp_replace(text, '[\\n\\v\\f\\r\\x1c-\\x1e]$', '')) AS digest FROM documents", n=lambda: _size(split.splitlines("text")), digest=lambda: hashing.sha256_hex(_joined(split.splitlines("text"), "\n")))
+_WS = "[\\x{9}-\\x{D}\\x{20}\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]"
+simple("newlines", "documents", "doc_id", "SELECT doc_id, len(regexp_extract_all(text, '\\r\\n|[\\n\\x{B}\\f\\r\\x{85}\\x{2028}\\x{2029}]')) AS n FROM documents", n=lambda: _size(split.newlines("text")))
+simple("split_newlines", "documents", "doc_id", "SELECT doc_id, len(string_split_regex(text, '\\r\\n|[\\n\\x{B}\\f\\r\\x{85}\\x{2028}\\x{2029}]')) AS n FROM documents", n=lambda: _size(split.split_newlines("text")))
+simple("whitespaces", "documents", "doc_id", f"SELECT doc_id, len(regexp_extract_all(text, '{_WS}')) AS n FROM documents", n=lambda: _size(split.whitespaces("text")))
+simple("split_whitespaces", "benchmark", "item_id", f"SELECT item_id, array_to_string(list_filter(string_split_regex(text, '{_WS}'), lambda p: p <> ''), '|') AS parts FROM benchmark", parts=lambda: _joined(split.split_whitespaces("text", skip_empty=True)))
+simple("delimiters", "benchmark", "item_id", "SELECT item_id, array_to_string(regexp_extract_all(text, '[\\pP\\pS\\pZ\\x{9}-\\x{D}\\x{85}]'), '') AS parts FROM benchmark", parts=lambda: _joined(split.delimiters("text"), ""))
+simple("split_delimiters", "benchmark", "item_id", "SELECT item_id, array_to_string(string_split_regex(text, '[\\pP\\pS\\pZ\\x{9}-\\x{D}\\x{85}]'), '|') AS parts, text AS again FROM benchmark", parts=lambda: _joined(split.split_delimiters("text")), again=lambda: _joined(split.split_delimiters("text", with_separators=True), ""))
+
+# Strings to strings
+
+simple("slice_bytes", "pages", "page_id", "SELECT page_id, url[4:10] AS a, url[-5:] AS b, url[1:-4] AS c FROM pages", a=lambda: transform.slice_bytes("url", 3, 10).cast("string"), b=lambda: transform.slice_bytes("url", -5).cast("string"), c=lambda: transform.slice_bytes("url", None, -3).cast("string"))
+simple("byte_vs_char_len", "documents", "doc_id", "SELECT doc_id, strlen(text) AS n_bytes, length(text) AS n_chars FROM documents", n_bytes=lambda: transform.byte_length("text"), n_chars=lambda: unicode.count_codepoints("text"))
+simple("concat_texts", "part", "p_partkey", "SELECT p_partkey, p_brand || p_name || p_type AS s FROM part", s=lambda: transform.concat("p_brand", "p_name", "p_type"))
+simple("remove_affixes", "pages", "page_id", "SELECT page_id, CASE WHEN starts_with(url, 'https://') THEN substr(url, 9) ELSE url END AS a, CASE WHEN ends_with(url, '.html') THEN left(url, length(url) - 5) ELSE url END AS b FROM pages", a=lambda: transform.remove_prefix("url", "https://"), b=lambda: transform.remove_suffix("url", ".html"))
+simple("strip_chars", "documents", "doc_id", "SELECT doc_id, sha256(trim(text, ' .,TAe')) AS a, sha256(ltrim(text, 'TAI')) AS b, sha256(rtrim(text, '.en')) AS c FROM documents", a=lambda: hashing.sha256_hex(transform.strip("text", " .,TAe")), b=lambda: hashing.sha256_hex(transform.lstrip("text", "TAI")), c=lambda: hashing.sha256_hex(transform.rstrip("text", ".en")))
+_ABC = "abcdefghijklmnopqrstuvwxyz"
+simple("translate_rot13", "documents", "doc_id", f"SELECT doc_id, sha256(translate(text, '{_ABC}', '{_ABC[13:] + _ABC[:13]}')) AS digest FROM documents", digest=lambda: hashing.sha256_hex(transform.translate("text", dict(zip(_ABC, _ABC[13:] + _ABC[:13], strict=True)))))
+simple("ascii_case", "documents", "doc_id", f"SELECT doc_id, sha256(translate(text, '{_ABC.upper()}', '{_ABC}')) AS low, sha256(translate(text, '{_ABC}', '{_ABC.upper()}')) AS up FROM documents", low=lambda: hashing.sha256_hex(transform.ascii_lower("text")), up=lambda: hashing.sha256_hex(transform.ascii_upper("text")))
+simple("replace_all", "documents", "doc_id", "SELECT doc_id, sha256(replace(text, 'the', 'THE')) AS a, sha256(regexp_replace(text, '[aeiou]', '*', 'g')) AS b FROM documents", a=lambda: hashing.sha256_hex(transform.replace_all("text", "the", "THE")), b=lambda: hashing.sha256_hex(transform.replace_byteset("text", "aeiou", "*")))
+simple("edit_in_place", "pages", "page_id", "SELECT page_id, left(url, 5) || '[]' || substr(url, 6) AS a, left(url, 2) || substr(url, 6) AS b, repeat('x', length(url)) AS c FROM pages", a=lambda: transform.insert("url", 5, "[]").cast("string"), b=lambda: transform.erase("url", 2, 3).cast("string"), c=lambda: transform.fill("url", 120).cast("string"))
+simple("decode_bytes", "benchmark", "item_id", "SELECT item_id, text AS a, text AS b FROM benchmark", a=lambda: transform.decode(F.col("text").cast("binary")), b=lambda: transform.decode(F.col("text").cast("binary"), errors="replace"))
+
+# Digests, hashes, ciphers
+
+simple("bytesum", "benchmark", "item_id", "SELECT item_id, list_sum(list_transform(regexp_extract_all(hex(text), '..'), lambda h: ('0x' || h)::INT))::BIGINT AS total FROM benchmark", total=lambda: hashing.bytesum("text"))
+simple("sha256", "documents", "doc_id", "SELECT doc_id, sha256(text) AS digest FROM documents", digest=lambda: F.lower(F.hex(hashing.sha256("text"))))
+simple("hmac_sha256", "documents", "doc_id", f"SELECT doc_id, sha256(from_hex('{bytes(b ^ 0x5C for b in b'secret'.ljust(64, bytes(1))).hex()}') || from_hex(sha256(from_hex('{bytes(b ^ 0x36 for b in b'secret'.ljust(64, bytes(1))).hex()}') || encode(text)))) AS tag FROM documents", tag=lambda: F.lower(F.hex(hashing.hmac_sha256("secret", "text"))))
+simple("hash64", "documents", "doc_id", h=lambda: hashing.hash64("text"), shown=lambda: hashing.unsigned(hashing.hash64("text", 7)))
+simple("hash_multiseed", "benchmark", "item_id", h=lambda: _numbers(hashing.hash_multiseed("text", [0, 1, 42, 2**64 - 1])))
+simple("random_bytes", "nation", "n_nationkey", r=lambda: F.hex(hashing.random(40, F.col("n_nationkey"))), letters=lambda: hashing.random(12, F.col("n_nationkey"), "ACGT").cast("string"))
+_KEY, _NONCE = bytes(range(32)), bytes(range(12))
+simple("gcm_roundtrip", "documents", "doc_id", "SELECT doc_id, sha256(text) AS digest, strlen(text) AS n, true AS refused FROM documents", digest=lambda: hashing.sha256_hex(cipher.gcm_decrypt(cipher.gcm_encrypt("text", _KEY, _NONCE, b"a").text, cipher.gcm_encrypt("text", _KEY, _NONCE, b"a").tag, _KEY, _NONCE, b"a")), n=lambda: F.octet_length(cipher.gcm_encrypt("text", _KEY, _NONCE, b"a").text).cast("long"), refused=lambda: cipher.try_gcm_decrypt(cipher.gcm_encrypt("text", _KEY, _NONCE, b"a").text, cipher.gcm_encrypt("text", _KEY, _NONCE, b"a").tag, _KEY, _NONCE, b"b").isNull())
+simple("ctr_seek", "benchmark", "item_id", "SELECT item_id, text AS again, substr(encode(text)::VARCHAR, 1, 0) = '' AS seek FROM benchmark", again=lambda: cipher.ctr_xor(cipher.ctr_xor("text", _KEY, _NONCE), _KEY, _NONCE).cast("string"), seek=lambda: cipher.ctr_xor(transform.slice_bytes(F.col("text"), 21), _KEY, _NONCE, 21) == transform.slice_bytes(cipher.ctr_xor("text", _KEY, _NONCE), 21))
+
+
+@query("SELECT conv_id, sha256(string_agg(text, '' ORDER BY turn)) AS digest FROM conversations GROUP BY conv_id")
+def chunk_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests.sha256_of_chunks(_table(spark, sf_dir, "conversations"), "conv_id", "turn", "text").withColumnRenamed("sha256", "digest")
+
+
+@query("SELECT conv_id, sha256(string_agg(text, '' ORDER BY turn)) AS digest FROM conversations GROUP BY conv_id")
+def chunk_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests.hash_of_chunks(_table(spark, sf_dir, "conversations"), "conv_id", "turn", "text").select("conv_id", F.col("sha256").alias("digest"))
+
+
+# Unicode
+
+simple("codepoints", "benchmark", "item_id", "SELECT item_id, array_to_string(list_transform(string_split(text, ''), lambda c: unicode(c)), ',') AS cps FROM benchmark", cps=lambda: _numbers(unicode.codepoints("text")))
+simple("utf8_seek", "documents", "doc_id", "SELECT doc_id, CASE WHEN length(text) >= 100 THEN strlen(left(text, 100)) END AS found_at FROM documents", found_at=lambda: unicode.seek("text", 100))
+simple("graphemes", "documents", "doc_id", "SELECT doc_id, length_grapheme(text) AS n FROM documents", n=lambda: _size(unicode.graphemes("text")))
+simple("fold_docs", "documents", "doc_id", "SELECT doc_id, sha256(replace(lower(text), 'ß', 'ss')) AS digest FROM documents", digest=lambda: hashing.sha256_hex(unicode.fold("text")))
+simple("uncased_search", "documents", "doc_id", "SELECT doc_id, instr(lower(text), 'tion') - 1 AS found_at, contains(lower(text), 'tion') AS hit FROM documents", found_at=lambda: unicode.uncased_search("text", "TioN"), hit=lambda: unicode.uncased_contains("text", "TIOn"))
+simple("uncased_matches", "documents", "doc_id", "SELECT doc_id, (length(text) - length(replace(lower(text), 'ing', ''))) // 3 AS n FROM documents", n=lambda: _size(unicode.uncased_matches("text", "ING")))
+simple("uncased_order", "part", "p_partkey", "SELECT p_partkey, CASE WHEN lower(p_type) < 'n' THEN -1 WHEN lower(p_type) > 'n' THEN 1 ELSE 0 END AS ord FROM part", ord=lambda: unicode.uncased_order("p_type", F.lit("N")))
+simple("find_cased", "pages", "page_id", "SELECT page_id, length(regexp_extract(url, '^[^a-zA-Z]*')) AS found_at FROM pages", found_at=lambda: unicode.find_cased("url"))
+simple("norm_nfc", "documents", "doc_id", "SELECT doc_id, sha256(nfc_normalize(text)) AS digest, text = nfc_normalize(text) AS normal FROM documents", digest=lambda: hashing.sha256_hex(unicode.norm("text", "NFC")), normal=lambda: unicode.is_norm("text", "NFC"))
+simple("norm_nfd", "documents", "doc_id", "SELECT doc_id, sha256(nfc_normalize(text)) AS digest FROM documents", digest=lambda: hashing.sha256_hex(unicode.norm(unicode.norm("text", "NFD"), "NFC")))
+simple("norm_compatible", "documents", "doc_id", nfkc=lambda: hashing.sha256_hex(unicode.norm("text", "NFKC")), nfkd=lambda: hashing.sha256_hex(unicode.norm("text", "NFKD")))
+simple("find_denormalized", "documents", "doc_id", "SELECT doc_id, text = nfc_normalize(text) AS normal FROM documents", normal=lambda: unicode.find_denormalized("text", "NFC").isNull())
+simple("word_segments", "documents", "doc_id", "SELECT doc_id, sha256(text) AS digest FROM documents", digest=lambda: hashing.sha256_hex(_joined(unicode.wordbreaks("text"), "")))
+simple("sentences", "documents", "doc_id", "SELECT doc_id, sha256(text) AS digest FROM documents", digest=lambda: hashing.sha256_hex(_joined(unicode.sentences("text"), "")))
+simple("linebreaks", "benchmark", "item_id", "SELECT item_id, text AS again FROM benchmark", again=lambda: _joined(unicode.linebreaks("text"), ""))
+simple("segment_counts", "benchmark", "item_id", words=lambda: _size(unicode.wordbreaks("text")), sentences=lambda: _size(unicode.sentences("text")), lines=lambda: _size(unicode.linebreaks("text")))
+simple("word_properties", "benchmark", "item_id", "SELECT item_id, regexp_matches(text, '^[\\pL\\pN_]') AS word FROM benchmark", word=lambda: unicode.is_word_char("text"))
+
+# Collections
+
+
+@query("SELECT doc_id, sha256(text) AS digest FROM documents ORDER BY text, doc_id LIMIT 20")
+def sort_docs_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collection.sort(_table(spark, sf_dir, "documents"), "text", "doc_id", top=20).select("doc_id", hashing.sha256_hex("text").alias("digest"))
+
+
+@query("SELECT c_custkey, row_number() OVER (ORDER BY c_mktsegment DESC, c_custkey) - 1 AS position FROM customer")
+def argsort_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collection.argsort(_table(spark, sf_dir, "customer"), "c_mktsegment", "c_custkey", reverse=True).select("c_custkey", "position")
+
+
+@query("SELECT p_partkey, row_number() OVER (ORDER BY lower(p_name), p_partkey) - 1 AS position FROM part QUALIFY position < 50")
+def sort_uncased(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collection.argsort(_table(spark, sf_dir, "part"), "p_name", "p_partkey", uncased=True, top=50).select("p_partkey", "position")
+
+
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY length(o_orderpriority), o_orderkey) - 1 AS position FROM orders")
+def argsort_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collection.argsort(_table(spark, sf_dir, "orders"), F.char_length("o_orderpriority"), "o_orderkey").select("o_orderkey", "position")
+
+
+@query("SELECT doc_id, (doc_id - 10) // 7 AS place FROM documents WHERE doc_id >= 10 AND doc_id < 500 AND (doc_id - 10) % 7 = 0")
+def slice_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collection.rows(_table(spark, sf_dir, "documents").select("doc_id"), 10, 500, 7, idx="doc_id")
+
+
+@query()
+def sample_n(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collection.sample(_table(spark, sf_dir, "documents").select("doc_id", "lang"), 300, 42, idx="doc_id")
+
+
+@query("SELECT doc_id, source FROM documents")
+def shuffled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collection.shuffled(_table(spark, sf_dir, "documents").select("doc_id", "source"), 42, idx="doc_id")
+
+
+def _words(df: DataFrame, base) -> DataFrame:
+    rows = df.select(base.alias("base"), F.posexplode(split.split("text")).alias("pos", "s"))
+    return rows.select((F.col("base") * 100000 + F.col("pos")).alias("idx"), "s")
+
+
+_WORDS_SQL = "a AS (SELECT item_id * 100000 + generate_subscripts(string_split(text, ' '), 1) - 1 AS idx, unnest(string_split(text, ' ')) AS s FROM benchmark), b AS (SELECT (conv_id * 1000 + turn) * 100000 + generate_subscripts(string_split(text, ' '), 1) - 1 AS idx, unnest(string_split(text, ' ')) AS s FROM conversations)"
+
+
+@query(f"WITH {_WORDS_SQL} SELECT ours, theirs, s FROM (SELECT s, min(idx) AS ours FROM a GROUP BY s) JOIN (SELECT s, min(idx) AS theirs FROM b GROUP BY s) USING (s)")
+def intersect_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = _words(_table(spark, sf_dir, "benchmark"), F.col("item_id"))
+    b = _words(_table(spark, sf_dir, "conversations"), F.col("conv_id") * 1000 + F.col("turn"))
+    return collection.intersect(a, b)
+
+
+@query(f"WITH {_WORDS_SQL} SELECT ours, theirs, s FROM (SELECT lower(s) AS s, min(idx) AS ours FROM a GROUP BY ALL) JOIN (SELECT lower(s) AS s, min(idx) AS theirs FROM b GROUP BY ALL) USING (s)")
+def intersect_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = _words(_table(spark, sf_dir, "benchmark"), F.col("item_id"))
+    b = _words(_table(spark, sf_dir, "conversations"), F.col("conv_id") * 1000 + F.col("turn"))
+    return collection.intersect(a, b, key=F.lower)
+
+
+def _nations(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    a = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("idx"), F.col("s_nationkey").cast("string").alias("s"))
+    return a, _table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("idx"), F.col("n_regionkey").cast("string").alias("s"))
+
+
+def _join_query(how: str, sql: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return collection.join_strings(*_nations(spark, sf_dir), how)
+
+    _QUERIES[f"join_{how}"] = run
+    _SQL[f"join_{how}"] = f"SELECT s_suppkey AS ours, n_nationkey::BIGINT AS theirs FROM supplier {sql}"
+
+
+for _how, _sql in (("inner", "JOIN"), ("left", "LEFT JOIN"), ("right", "RIGHT JOIN"), ("full", "FULL JOIN")):
+    _join_query(_how, f"{_sql} nation ON s_nationkey = n_regionkey")
+_join_query("cross", "CROSS JOIN nation")
+
+
+@query("SELECT n_nationkey::BIGINT AS ours, r_regionkey::BIGINT AS theirs FROM nation JOIN region ON n_nationkey = r_regionkey")
+def join_inner_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("idx"), F.col("n_nationkey").cast("string").alias("s"))
+    b = _table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("idx"), F.col("r_regionkey").cast("string").alias("s"))
+    return collection.join_strings(a, b, "inner_strict")
+
+
+@query("SELECT sum(strlen(text))::BIGINT AS tape_nbytes, count(*) + 1 AS offsets, sum(strlen(text)) > 4294967295 AS offsets_are_large FROM documents")
+def tape_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sources.layout(_table(spark, sf_dir, "documents"), "text")
+
+
+@query("SELECT row_number() OVER (ORDER BY page_id) - 1 AS idx, url AS s FROM pages")
+def collection_from_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sources.from_column(_table(spark, sf_dir, "pages"), "url", "page_id", null_as_empty=True)
+
+
+@query("SELECT v AS value, v IN (SELECT lang FROM documents) AS found FROM (SELECT unnest(['en', 'de', 'xx']) AS v)")
+def membership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collection.contains(_table(spark, sf_dir, "documents"), ["en", "de", "xx"], "lang")
+
+
+# Pairwise scores and fingerprints
+
+
+def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "part").groupBy(F.col("p_name").alias("s")).agg(F.min("p_partkey").alias("idx"))
+
+
+_PAIRS = "WITH p AS (SELECT p_name AS s, min(p_partkey) AS idx FROM part GROUP BY 1) SELECT a.idx AS qi, b.idx AS ci, {} AS score FROM p a, p b"
+
+
+@query(_PAIRS.format("levenshtein(a.s, b.s)"))
+def lev_bytes_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity.cross_scores(_names(spark, sf_dir), None, similarity.levenshtein_bytes)
+
+
+@query(_PAIRS.format("levenshtein(a.s, b.s)"))
+def lev_utf8_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity.cross_scores(_names(spark, sf_dir), _names(spark, sf_dir), similarity.levenshtein_utf8)
+
+
+@query(_PAIRS.format("3 * levenshtein(a.s, b.s)"))
+def lev_weighted_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity.cross_scores(_names(spark, sf_dir), None, lambda a, b: similarity.levenshtein_bytes(a, b, Costs(0, 3, 3, 3)))
+
+
+@query()
+def lev_affine_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity.cross_scores(_names(spark, sf_dir), None, lambda a, b: similarity.levenshtein_utf8(a, b, Costs(0, 4, 3, 2)))
+
+
+@query(_PAIRS.format("-levenshtein(a.s, b.s)"))
+def nw_unit_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    exact = Classes(tuple(b % 32 for b in range(256)), Classes.diagonal(0, -1).costs)
+    return similarity.cross_scores(_names(spark, sf_dir), None, lambda a, b: similarity.needleman_wunsch(a, b, exact))
+
+
+@query()
+def sw_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity.cross_scores(_names(spark, sf_dir), None, lambda a, b: similarity.smith_waterman(a, b, Classes.diagonal(2, -1, -3, -1)))
+
+
+@query("WITH p AS (SELECT p_name AS s, min(p_partkey) AS idx FROM part GROUP BY 1) SELECT a.idx AS qi, list(levenshtein(a.s, b.s) ORDER BY b.idx)::VARCHAR AS scores FROM p a, p b GROUP BY 1")
+def score_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = similarity.cross_scores(_names(spark, sf_dir), None, similarity.levenshtein_bytes)
+    return similarity.matrix(scores).select("qi", F.concat(F.lit("["), F.concat_ws(", ", F.transform("scores", lambda x: x.cast("string"))), F.lit("]")).alias("scores"))
+
+
+@query()
+def minhash_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = fingerprints.fingerprints("text", 64)
+    docs = _table(spark, sf_dir, "documents").select("doc_id", f.alias("f"))
+    return docs.select("doc_id", _numbers(F.col("f.hashes")).alias("hashes"), _numbers(F.col("f.counts")).alias("counts"))
+
+
+@query("SELECT item_id, 1.0::DOUBLE AS same FROM benchmark")
+def fingerprint_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = _table(spark, sf_dir, "benchmark").select("item_id", fingerprints.fingerprints("text", 32).alias("a"), fingerprints.fingerprints(transform.concat("text"), 32).alias("b"))
+    return items.select("item_id", fingerprints.similarity(F.col("a.hashes"), F.col("b.hashes")).alias("same"))
+
+
+@query()
+def merge_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", fingerprints.fingerprints("text", 16).alias("f")).select("conv_id", "f.hashes", "f.counts")
+    return fingerprints.merge(turns, "conv_id").select("conv_id", _numbers(F.col("hashes")).alias("hashes"), _numbers(F.col("counts")).alias("counts"))
 
 
-def queries() -> dict:
-    return {"top_hits": top_hits}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"top_hits": "SELECT doc_id, (strlen(text) - strlen(replace(text, 'the', ''))) // 3 AS n, strlen(split_part(text, 'the', 1)) AS first_byte FROM documents WHERE contains(text, 'the') ORDER BY n DESC, doc_id LIMIT 10"}
+    return dict(_SQL)
