@@ -46,7 +46,7 @@ def order(a: Text, b: Text) -> Column:
 
 
 def _found(pos: Column, first: Column) -> Column:
-    return F.when(pos > 0, pos - 1 + first).otherwise(F.lit(-1))
+    return F.when(pos > 0, pos - 1 + first).when(pos == 0, F.lit(-1))
 
 
 def find(x: Text, sub: str | bytes | Column, start: int = 0, end: int | None = None) -> Column:
@@ -61,7 +61,7 @@ def rfind(x: Text, sub: str | bytes | Column, start: int = 0, end: int | None =
     part, first, last, ok = window(x, start, end)
     n = needle(sub)
     back = F.position(F.reverse(n), F.reverse(part))
-    at = F.when(back > 0, F.length(part) - F.length(n) - (back - 1) + first).otherwise(F.lit(-1))
+    at = F.when(back > 0, F.length(part) - F.length(n) - (back - 1) + first).when(back == 0, F.lit(-1))
     return F.when(~ok, F.lit(-1)).when(F.length(n) == 0, last).otherwise(at).cast("long")
 
 
@@ -94,7 +94,7 @@ def _first(x: Text, pattern: str, start: int, end: int | None) -> Column:
 def _last(x: Text, pattern: str, start: int, end: int | None) -> Column:
     part, first, _, ok = window(x, start, end)
     back = F.regexp_instr(F.reverse(part), F.lit(pattern))
-    return F.when(~ok, F.lit(-1)).otherwise(F.when(back > 0, F.length(part) - back + first).otherwise(F.lit(-1))).cast("long")
+    return F.when(~ok, F.lit(-1)).otherwise(F.when(back > 0, F.length(part) - back + first).when(back == 0, F.lit(-1))).cast("long")
 
 
 def find_first_of(x: Text, chars: str | bytes, start: int = 0, end: int | None = None) -> Column:
