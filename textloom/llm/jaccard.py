@@ -244,7 +244,9 @@ def _regions(spark, rows: DataFrame, classes: DataFrame, k: int, threshold: Frac
         return found
     # Parts of a region agree on one first pivot; regions of one set are no longer of use.
     first = scratch.table(found.groupBy("token").agg(F.min(F.struct("lpos", "ldoc", "ln")).alias("first"), F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b"), "first")
-    return scratch.table(found.drop("ldoc", "ln", "lpos").join(first, "token").select("token", "doc", "n", "pos", F.col("first.ldoc").alias("ldoc"), F.col("first.ln").alias("ln"), F.col("first.lpos").alias("lpos")), "regions")
+    out = scratch.table(found.drop("ldoc", "ln", "lpos").join(first, "token").select("token", "doc", "n", "pos", F.col("first.ldoc").alias("ldoc"), F.col("first.ln").alias("ln"), F.col("first.lpos").alias("lpos")), "regions")
+    scratch.release(found, first)
+    return out
 
 
 def _link(spark, rows: DataFrame, found: DataFrame, k: int, threshold: Fraction, extra: DataFrame) -> DataFrame:
@@ -262,12 +264,15 @@ def _link(spark, rows: DataFrame, found: DataFrame, k: int, threshold: Fraction,
     to_first = known.select("x", "p", (1 - F.col("shared") / F.col("together")).alias("d"))
     left = found.where(F.col("doc") != F.col("ldoc")).select("token", "doc", "n", "pos", *_pair("doc", "ldoc"))
     left = scratch.table(left.join(to_first, ["x", "p"], "left").select("token", "doc", "n", "pos", "d"), "left")
+    scratch.release(found)
     while True:
         marked = left.join(labels.select(F.col("node").alias("doc"), "label"), "doc", "left").select("token", "doc", "n", "pos", "d", F.coalesce("label", "doc").alias("part"))
         marked = scratch.table(marked, "marked")
         mixed = scratch.table(marked.groupBy("token").agg(F.min("part").alias("u"), F.max("part").alias("v")).where("u < v").select("token"), "mixed")
         active = scratch.table(marked.join(mixed, "token"), "active")
+        scratch.release(left, marked, mixed)
         if active.isEmpty():
+            scratch.release(active, members, known)
             return labels
         main = scratch.table(active.groupBy("token", "part").agg(F.count("*").alias("rows")).groupBy("token").agg(F.max_by("part", F.struct("rows", "part")).alias("main")), "main")
         others = active.join(main, "token").where("part <> main")
@@ -277,12 +282,13 @@ def _link(spark, rows: DataFrame, found: DataFrame, k: int, threshold: Fraction,
         both = active.join(pivots, "token").where((F.col("part") != F.col("ppart")) & (F.col("doc") != F.col("pivot")) & window & _possible(threshold, F.col("n"), F.col("pn"), F.col("pos"), F.col("ppos")))
         pairs = scratch.table(both.select(*_pair("doc", "pivot")).distinct().join(known.select("x", "p"), ["x", "p"], "left_anti"), "pairs")
         new = scratch.table(measure(pairs, members), "known")
-        known = scratch.table(known.unionByName(new), "known")
+        old, known = known, scratch.table(known.unionByName(new), "known")
         # New links join components, so they may name the components' labels.
         named = labels.withColumnRenamed("label", "l")
         up = linked(new).join(named.select(F.col("node").alias("a"), F.col("l").alias("la")), "a", "left").join(named.select(F.col("node").alias("b"), F.col("l").alias("lb")), "b", "left")
         labels = components(up.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")), labels)
         left = scratch.table(active.join(pivots.select("token", F.col("pivot").alias("doc")), ["token", "doc"], "left_anti").select("token", "doc", "n", "pos", "d"), "left")
+        scratch.release(main, pivots, pairs, new, old, active)
 
 
 def join(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4, threshold: Fraction = Fraction(85, 100)) -> DataFrame:
@@ -303,6 +309,7 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4, thr
     extra = extra.select(F.col("class").alias("a"), F.col("doc").alias("b"))
     labels = _link(spark, named, _regions(spark, named, classes, k, threshold, counts), k, threshold, extra)
     placed = scratch.table(classes.join(labels.select(F.col("node").alias("class"), "label"), "class", "left").select("h1", "h2", "n", F.coalesce("label", "class").alias("component")), "placed")
+    scratch.release(classes, labels)
     out = docs.where(F.col("n") > 0).join(placed, ["h1", "h2", "n"], "left").select("doc", "n", F.when(F.col("doc").isNotNull(), F.col("component")).alias("component"))
     out = out.unionByName(docs.where(F.col("n") == 0).select("doc", "n", F.col("doc").alias("component")))
     return out.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))

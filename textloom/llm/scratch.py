@@ -2,16 +2,21 @@
 
 Everything goes to the folder named by ``spark.checkpoint.dir``, which the driver and all executors share; only where
 that setting is missing (local tests) a temporary folder is set up once per session. Tables are written by Spark's own
-writer, so a lost executor or a repeated task never leaves a half-written table behind.
+writer, so a lost executor or a repeated task never leaves a half-written table behind. A table that nothing reads any more is
+released by its maker; what a returned DataFrame still reads goes when the driver's Python ends.
 """
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_MADE: dict[str, SparkSession] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all machines share, for scratch tables."""
@@ -23,7 +28,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/textloom-{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_dir(spark)}/textloom-{name}-{uuid.uuid4().hex[:12]}"
+    _MADE[path] = spark
+    return path
 
 
 def table(df: DataFrame, name: str) -> DataFrame:
@@ -31,7 +38,17 @@ def table(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._textloom_scratch = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes scratch tables that no DataFrame reads any more."""
+    for t in tables:
+        path = getattr(t, "_textloom_scratch", None)
+        if path in _MADE:
+            drop(_MADE.pop(path), path)
 
 
 def drop(spark: SparkSession, path: str) -> None:
@@ -39,3 +56,12 @@ def drop(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@atexit.register
+def _clean() -> None:
+    while _MADE:
+        path, spark = _MADE.popitem()
+        with contextlib.suppress(Exception):  # the session may have ended already
+            if spark.sparkContext._jsc is not None:
+                drop(spark, path)

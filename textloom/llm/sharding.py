@@ -23,6 +23,8 @@ from pyspark.sql.window import Window
 from . import scratch
 
 SLOTS, SHARDS = 4096, 16
+#: Edits of the map before documents are placed.
+EDITS = 2
 
 
 def slot_of(key: str = "doc_id", text: str = "text", slots: int = SLOTS):
@@ -83,6 +85,8 @@ def op4_sharding(spark, sf_dir: str) -> DataFrame:
     path = scratch.new_path(spark, "slot-map")
     save_map(first_map(spark), path, 0)
     sums = scratch.table(slot_bytes(docs.select((F.octet_length(raw) + 1).cast("long").alias("size"), slot_of().alias("vslot"))), "slot-bytes")
-    save_map(rebalance(load_map(spark, path, 0), sums), path, 1)
-    placed = assign(records, load_map(spark, path, 1), sums, ["doc_id", "text_crc32", "size"])
+    # The first edit places large slots, the second evens out what they left with small ones.
+    for version in range(EDITS):
+        save_map(rebalance(load_map(spark, path, version), sums), path, version + 1)
+    placed = assign(records, load_map(spark, path, EDITS), sums, ["doc_id", "text_crc32", "size"])
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"), F.col("vslot").alias("virtual_slot"))

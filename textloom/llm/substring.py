@@ -224,7 +224,7 @@ def _windows(batches, w: int):
 
 
 def spans(rows: DataFrame, w: int = W, k: int = ANCHOR) -> DataFrame:
-    """doc, th, a, b: words a to b (excluded) of a document are removed. Spans of a document may overlap."""
+    """doc, th, spans (array of a, b): words a to b (excluded) of a document are removed. Spans may overlap."""
     spark = rows.sparkSession
     wanted = spark.sparkContext.broadcast(_repeated(rows, w, k))
     found = scratch.table(_occurrences(rows, w, k, wanted), "occurrences")
@@ -240,7 +240,9 @@ def spans(rows: DataFrame, w: int = W, k: int = ANCHOR) -> DataFrame:
     cut = firsts.join(hot, "route").select("route", "doc", "th", "pos", "words").mapInArrow(lambda b: _windows(b, w), "route long, doc long, th long, pos int, words binary")
     dealt = usual.unionByName(cut).withColumn("shard", F.pmod(F.xxhash64("route"), F.lit(shards)))
     matched = dealt.select("shard", "doc", "th", "pos", "words").groupBy("shard").applyInArrow(_shard_kernel(w), "doc long, th long, a int, b int")
-    return matched.unionByName(copies)
+    out = scratch.table(matched.unionByName(copies).groupBy("doc", "th").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "spans")
+    scratch.release(found, owners, firsts, hot)
+    return out
 
 
 def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", w: int = W, k: int = ANCHOR, keep: list[str] | None = None) -> DataFrame:
@@ -249,8 +251,7 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", w: int = W, k:
     kept_text: a removed span goes from its first word to its last; white space around it stays; null for a null text."""
     keep = [x for x in keep or [] if x != key]
     rows = _rows(df, key, text, keep)
-    found = spans(rows.select("doc", "th", "text"), w, k)
-    lists = scratch.table(found.groupBy("doc", "th").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "spans")
+    lists = spans(rows.select("doc", "th", "text"), w, k)
     joined = rows.join(lists, ["doc", "th"], "left").select(F.when(F.col("doc") != _NULL_ID, F.col("doc")).alias("doc"), "text", F.col("spans.a").alias("a"), F.col("spans.b").alias("b"), *(F.col(f"keep_{i}") for i in range(len(keep))))
     extra = [(x, df.schema[x].dataType.simpleString()) for x in keep]
     schema = f"`{key}` long, n_words long, n_removed long, kept_sha256 string, kept_text string" + "".join(f", `{x}` {t}" for x, t in extra)
