@@ -165,18 +165,28 @@ def regions(posted: DataFrame, parts) -> DataFrame:
 
 
 def sets(rows: DataFrame, k: int, wanted) -> DataFrame:
-    """doc, members (sorted hashes, 8 bytes each) of the sets that the filter lets through."""
+    """doc, members (hashes) of the sets that the filter lets through."""
 
     def run(batches):
         for batch in batches:
             batch = batch.filter(pa.array(_passes(batch.column(0).to_numpy(), wanted.value)))
             for c in chunks(batch.column(1), lower=True):
                 value, owner = shingles(c, k)
-                at = np.searchsorted(owner, np.arange(c.n + 1))
-                data = value.tobytes()
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.first, c.n), pa.array([data[8 * a : 8 * b] for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["doc", "members"])
+                at = np.searchsorted(owner, np.arange(c.n + 1)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.first, c.n), pa.ListArray.from_arrays(pa.array(at), pa.array(value.view(np.int64)))], names=["doc", "members"])
 
-    return rows.mapInArrow(run, "doc long, members binary")
+    return rows.mapInArrow(run, "doc long, members array<long>")
+
+
+def _only(members: DataFrame, ids: DataFrame) -> DataFrame:
+    """The sets whose ids the filter of ids lets through, so that only they are shuffled."""
+    wanted = members.sparkSession.sparkContext.broadcast(_id_filter(ids))
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(_passes(batch.column(0).to_numpy(), wanted.value)))
+
+    return members.mapInArrow(run, members.schema)
 
 
 def _id_filter(ids: DataFrame) -> np.ndarray:
@@ -209,21 +219,11 @@ def _possible(threshold: Fraction, n1, n2, pos1=None, pos2=None):
 
 def measure(pairs: DataFrame, members: DataFrame) -> DataFrame:
     """x, p, shared, together: the sizes of intersection and union for pairs of sets."""
-    left = members.select(F.col("doc").alias("p"), F.col("members").alias("mp"))
-    right = members.select(F.col("doc").alias("x"), F.col("members").alias("mx"))
-    both = pairs.select("x", "p").join(left, "p").join(right, "x").select("x", "p", "mx", "mp")
-
-    def run(batches):
-        for batch in batches:
-            shared, together = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
-            for i, (a, b) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                both = np.concatenate([np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)])
-                both.sort()
-                shared[i] = np.count_nonzero(both[1:] == both[:-1])
-                together[i] = len(both) - shared[i]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shared), pa.array(together)], names=["x", "p", "shared", "together"])
-
-    return both.mapInArrow(run, "x long, p long, shared long, together long")
+    left = _only(members, pairs.select("p")).select(F.col("doc").alias("p"), F.col("members").alias("mp"))
+    right = _only(members, pairs.select("x")).select(F.col("doc").alias("x"), F.col("members").alias("mx"))
+    both = pairs.select("x", "p").join(left, "p").join(right, "x")
+    shared = F.size(F.array_intersect("mx", "mp")).cast("long")
+    return both.select("x", "p", shared.alias("shared"), (F.size("mx") + F.size("mp") - shared).cast("long").alias("together"))
 
 
 def _pair(x: str, p: str) -> list:
@@ -257,10 +257,31 @@ def _link(spark, rows: DataFrame, found: DataFrame, k: int, threshold: Fraction,
     members = scratch.table(sets(rows, k, wanted), "sets")
     linked = lambda t: t.where(F.col("shared") * b >= F.col("together") * a).select(F.col("x").alias("a"), F.col("p").alias("b"))
 
-    pairs = found.where((F.col("doc") != F.col("ldoc")) & _possible(threshold, F.col("n"), F.col("ln"), F.col("pos"), F.col("lpos"))).select(*_pair("doc", "ldoc")).distinct()
-    known = scratch.table(measure(pairs, members), "known")
+    def absorb(links: DataFrame, labels: DataFrame) -> DataFrame:
+        """Labels after further links; those join components, so they may name the components' labels."""
+        named = labels.withColumnRenamed("label", "l")
+        up = links.join(named.select(F.col("node").alias("a"), F.col("l").alias("la")), "a", "left").join(named.select(F.col("node").alias("b"), F.col("l").alias("lb")), "b", "left")
+        return components(up.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")), labels)
+
+    def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+        """The pairs that no component joins yet."""
+        named = labels.withColumnRenamed("label", "l")
+        with_both = pairs.join(named.select(F.col("node").alias("x"), F.col("l").alias("lx")), "x", "left").join(named.select(F.col("node").alias("p"), F.col("l").alias("lp")), "p", "left")
+        return with_both.where(F.coalesce("lx", "x") != F.coalesce("lp", "p")).select("x", "p")
+
+    # A set is first compared with the pivot with which it shares most regions, then with those that are still apart from it.
+    met = scratch.table(found.where((F.col("doc") != F.col("ldoc")) & _possible(threshold, F.col("n"), F.col("ln"), F.col("pos"), F.col("lpos"))).groupBy("doc", "ldoc").agg(F.count("*").alias("rows")), "met")
+    best = scratch.table(met.groupBy("doc").agg(F.max_by("ldoc", F.struct("rows", -F.col("ldoc"))).alias("ldoc")).select(*_pair("doc", "ldoc")).distinct(), "pairs")
+    known = scratch.table(measure(best, members), "known")
     labels = components(linked(known).unionByName(extra))
-    # A region's first pivot has been compared with all its members; d is a member's distance to it, where measured.
+    rest = scratch.table(apart(met.select(*_pair("doc", "ldoc")).distinct().join(known.select("x", "p"), ["x", "p"], "left_anti"), labels), "pairs")
+    if not rest.isEmpty():
+        new = scratch.table(measure(rest, members), "known")
+        labels = absorb(linked(new), labels)
+        old, known = known, scratch.table(known.unionByName(new), "known")
+        scratch.release(old, new)
+    scratch.release(met, best, rest)
+    # A region's first pivot is linked with its members, apart from them, or in one component; d is the distance, where measured.
     to_first = known.select("x", "p", (1 - F.col("shared") / F.col("together")).alias("d"))
     left = found.where(F.col("doc") != F.col("ldoc")).select("token", "doc", "n", "pos", *_pair("doc", "ldoc"))
     left = scratch.table(left.join(to_first, ["x", "p"], "left").select("token", "doc", "n", "pos", "d"), "left")
@@ -283,10 +304,7 @@ def _link(spark, rows: DataFrame, found: DataFrame, k: int, threshold: Fraction,
         pairs = scratch.table(both.select(*_pair("doc", "pivot")).distinct().join(known.select("x", "p"), ["x", "p"], "left_anti"), "pairs")
         new = scratch.table(measure(pairs, members), "known")
         old, known = known, scratch.table(known.unionByName(new), "known")
-        # New links join components, so they may name the components' labels.
-        named = labels.withColumnRenamed("label", "l")
-        up = linked(new).join(named.select(F.col("node").alias("a"), F.col("l").alias("la")), "a", "left").join(named.select(F.col("node").alias("b"), F.col("l").alias("lb")), "b", "left")
-        labels = components(up.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")), labels)
+        labels = absorb(linked(new), labels)
         left = scratch.table(active.join(pivots.select("token", F.col("pivot").alias("doc")), ["token", "doc"], "left_anti").select("token", "doc", "n", "pos", "d"), "left")
         scratch.release(main, pivots, pairs, new, old, active)
 
