@@ -10,8 +10,9 @@ taken at random but from the places where distances are below 1:
   decides about cost only, not about results.)
 * Each region's first pivot is its most central set: the one with the fewest rarer shingles before the region's. All members'
   distances to it are computed; members within EPS are linked to it. Such stars are joined to components.
+* A pair matters in the region of the first shingle it shares only, where sizes and places bound what it can share.
 * Regions whose members are one component by now are done: their other links join what is joined already. The others
-  are handled recursively: of the members outside the region's largest component, up to PIVOTS become pivots and are
+  are handled recursively: of the members outside the region's largest component, a number become pivots and are
   compared with all members outside their own component that lie in the window |d(x, first) - d(pivot, first)| <= EPS,
   then leave the region. This goes on until every region is one component or has no pair left.
 
@@ -43,6 +44,8 @@ COUNTERS = 1 << 18
 #: Bits of the filter that says which sets are worth shipping; false positives cost time only.
 FILTER = 1 << 26
 PIVOTS = 64
+#: A region takes more pivots at a time while it has no more than so many pairs of a member and a pivot.
+EXAMINED = 4_000_000
 #: A region that seems to have more members than this is read in parts, each with a first pivot of its own.
 PART = 20_000
 
@@ -206,15 +209,12 @@ def _id_filter(ids: DataFrame) -> np.ndarray:
     return out
 
 
-def _possible(threshold: Fraction, n1, n2, pos1=None, pos2=None):
-    """Whether sets of these sizes can link, given the places of a shared prefix shingle before which nothing is known."""
+def _possible(threshold: Fraction, n1, n2, pos1, pos2):
+    """Whether sets of these sizes can link if the shingle at these places is the first in the order that they share.
+
+    Every pair that links passes in the region of its first shared shingle, so the other regions needn't let it pass."""
     a, b = threshold.numerator, threshold.denominator
-    ok = (F.least(n1, n2) * b >= F.greatest(n1, n2) * a)
-    if pos1 is not None:
-        # They share at most one shingle and what follows it, plus what both have before it.
-        most = F.least(n1, n2, F.least(n1 - pos1, n2 - pos2) + F.least(pos1, pos2))
-        ok = ok & (most * (a + b) >= (n1 + n2) * a)
-    return ok
+    return (F.least(n1, n2) * b >= F.greatest(n1, n2) * a) & (F.least(n1 - pos1, n2 - pos2) * (a + b) >= (n1 + n2) * a)
 
 
 def measure(pairs: DataFrame, members: DataFrame) -> DataFrame:
@@ -295,9 +295,12 @@ def _link(spark, rows: DataFrame, found: DataFrame, k: int, threshold: Fraction,
         if active.isEmpty():
             scratch.release(active, members, known)
             return labels
-        main = scratch.table(active.groupBy("token", "part").agg(F.count("*").alias("rows")).groupBy("token").agg(F.max_by("part", F.struct("rows", "part")).alias("main")), "main")
+        main = scratch.table(active.groupBy("token", "part").agg(F.count("*").alias("rows")).groupBy("token").agg(F.max_by("part", F.struct("rows", "part")).alias("main"), F.sum("rows").alias("members")), "main")
         others = active.join(main, "token").where("part <> main")
-        chosen = others.withColumn("nth", F.row_number().over(Window.partitionBy("token").orderBy("pos", "doc"))).where(F.col("nth") <= PIVOTS)
+        # Small regions are done at once, large ones a number of pivots at a time.
+        most = F.greatest(F.lit(PIVOTS), F.floor(F.lit(EXAMINED) / F.col("members")))
+        ranked = others.withColumn("nth", F.row_number().over(Window.partitionBy("token").orderBy("pos", "doc"))).where(F.col("nth") <= EXAMINED)
+        chosen = ranked.where(F.col("nth") <= most)
         pivots = scratch.table(chosen.select("token", F.col("doc").alias("pivot"), F.col("n").alias("pn"), F.col("pos").alias("ppos"), F.col("d").alias("pd"), F.col("part").alias("ppart")), "pivots")
         window = F.coalesce(F.abs(F.col("d") - F.col("pd")) <= eps, F.lit(True))
         both = active.join(pivots, "token").where((F.col("part") != F.col("ppart")) & (F.col("doc") != F.col("pivot")) & window & _possible(threshold, F.col("n"), F.col("pn"), F.col("pos"), F.col("ppos")))
