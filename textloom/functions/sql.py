@@ -22,7 +22,7 @@ _VIEW = "decode(encode({}, 'UTF-8'), 'ISO-8859-1')"
 NATIVE = [
     ("byte_view(x STRING)", "STRING", _VIEW.format("x")),
     ("byte_find(x STRING, sub STRING)", "BIGINT", f"CAST(if(sub = '', 0, locate({_VIEW.format('sub')}, {_VIEW.format('x')}) - 1) AS BIGINT)"),
-    ("byte_rfind(x STRING, sub STRING)", "BIGINT", f"CAST(CASE WHEN sub = '' THEN octet_length(x) WHEN contains(x, sub) THEN octet_length(x) - octet_length(sub) - (locate(reverse({_VIEW.format('sub')}), reverse({_VIEW.format('x')})) - 1) ELSE -1 END AS BIGINT)"),
+    ("byte_rfind(x STRING, sub STRING)", "BIGINT", f"CAST(CASE WHEN sub = '' THEN octet_length(x) WHEN contains(x, sub) THEN octet_length(x) - octet_length(sub) - (locate(reverse({_VIEW.format('sub')}), reverse({_VIEW.format('x')})) - 1) WHEN NOT contains(x, sub) THEN -1 END AS BIGINT)"),
     ("byte_count(x STRING, sub STRING)", "BIGINT", "CAST(if(sub = '', octet_length(x) + 1, (octet_length(x) - octet_length(replace(x, sub, ''))) div greatest(octet_length(sub), 1)) AS BIGINT)"),
     ("byte_sum(x STRING)", "BIGINT", f"aggregate(transform(split({_VIEW.format('x')}, ''), c -> CAST(ascii(c) AS BIGINT)), 0L, (a, b) -> a + b)"),
     ("utf8_seek(x STRING, n INT)", "BIGINT", "CAST(if(n <= char_length(x), octet_length(left(x, n)), NULL) AS BIGINT)"),
