@@ -50,7 +50,11 @@ def _found(pos: Column, first: Column) -> Column:
 
 
 def find(x: Text, sub: str | bytes | Column, start: int = 0, end: int | None = None) -> Column:
-    """Byte offset of the first sub in x[start:end]; an empty sub is found at the window's start."""
+    """Byte offset of the first sub in x[start:end]; an empty sub is found at the window's start.
+
+    A str without a window is sought in the STRING as it is; bytes, columns and windows go by the byte view."""
+    if isinstance(sub, str) and sub and start == 0 and end is None:
+        return F.when(F.contains(col(x), F.lit(sub)), F.octet_length(F.substring_index(col(x), sub, 1))).when(~F.contains(col(x), F.lit(sub)), F.lit(-1)).cast("long")
     part, first, _, ok = window(x, start, end)
     n = needle(sub)
     return F.when(~ok, F.lit(-1)).when(F.length(n) == 0, first).otherwise(_found(F.position(n, part), first)).cast("long")
@@ -58,6 +62,9 @@ def find(x: Text, sub: str | bytes | Column, start: int = 0, end: int | None = N
 
 def rfind(x: Text, sub: str | bytes | Column, start: int = 0, end: int | None = None) -> Column:
     """Byte offset of the last sub in x[start:end]; an empty sub is found at the window's end."""
+    if isinstance(sub, str) and sub and start == 0 and end is None:
+        at = F.octet_length(col(x)) - F.octet_length(F.substring_index(col(x), sub, -1)) - len(raw(sub))
+        return F.when(F.contains(col(x), F.lit(sub)), at).when(~F.contains(col(x), F.lit(sub)), F.lit(-1)).cast("long")
     part, first, last, ok = window(x, start, end)
     n = needle(sub)
     back = F.position(F.reverse(n), F.reverse(part))
