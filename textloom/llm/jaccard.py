@@ -6,7 +6,7 @@ taken at random but from the places where distances are below 1:
 
 * Equal sets are one class. Classes are put into regions by the prefix principle: with the shingles of every set in one
   global order, sets that link share a shingle among the first n - ceil(threshold * n) + 1. Common shingles stand last in that order,
-  so they seldom make regions. (The order comes from counts over all documents, in a table of 2**18 counters; it
+  so they seldom make regions. (The order comes from counts over all documents, in a table of 2**22 counters; it
   decides about cost only, not about results.)
 * Each region's first pivot is its most central set: the one with the fewest rarer shingles before the region's. All members'
   distances to it are computed; members within EPS are linked to it. Such stars are joined to components.
@@ -40,7 +40,9 @@ from . import scratch
 from .components import components
 from .textbatch import Chunk, chunks, mix
 
-COUNTERS = 1 << 18
+COUNTERS = 1 << 22
+#: Counters that travel together.
+CELL = 1 << 12
 #: Bits of the filter that says which sets are worth shipping; false positives cost time only.
 FILTER = 1 << 26
 PIVOTS = 64
@@ -82,22 +84,53 @@ def _digests(value: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray,
 
 
 def scan(rows: DataFrame, k: int) -> DataFrame:
-    """First pass, two kinds of rows: (doc, n, h1, h2) for each text, and (bucket, count) of shingles for the order."""
+    """First pass, two kinds of rows: (doc, n, h1, h2) for each text, and (cell, counts) of shingles for the order."""
+    names = ["doc", "n", "h1", "h2", "cell", "counts"]
 
     def run(batches):
-        counts = np.zeros(COUNTERS, np.int64)
+        counts, held, size = np.zeros(COUNTERS, np.uint32), [], 0
+
+        def count():
+            if held:
+                counts.__iadd__(np.bincount(np.concatenate(held), minlength=COUNTERS).astype(np.uint32))
+                held.clear()
+
         for batch in batches:
             for c in chunks(batch.column(1), lower=True):
                 value, owner = shingles(c, k)
-                size, h1, h2 = _digests(value, owner, c.n)
-                counts += np.bincount((value & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
-                none = pa.nulls(c.n, pa.int32())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.first, c.n), pa.array(size), pa.array(h1), pa.array(h2), none], names=["doc", "n", "h1", "h2", "bucket"])
-        at = np.flatnonzero(counts)
-        none = pa.nulls(len(at), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, pa.array(counts[at]), none, none, pa.array(at, pa.int32())], names=["doc", "n", "h1", "h2", "bucket"])
+                n, h1, h2 = _digests(value, owner, c.n)
+                held.append((value & np.uint64(COUNTERS - 1)).astype(np.int32))
+                size += len(value)
+                if size > 2_000_000:
+                    count()
+                    size = 0
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.first, c.n), pa.array(n), pa.array(h1), pa.array(h2), pa.nulls(c.n, pa.int32()), pa.nulls(c.n, pa.binary())], names=names)
+        count()
+        for first in range(0, COUNTERS, CELL * 64):
+            cells = [i for i in range(first, first + CELL * 64, CELL) if counts[i : i + CELL].any()]
+            none = pa.nulls(len(cells), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array([i // CELL for i in cells], pa.int32()), pa.array([counts[i : i + CELL].tobytes() for i in cells], pa.binary())], names=names)
+
+    return rows.mapInArrow(run, "doc long, n long, h1 long, h2 long, cell int, counts binary")
+
+
+def _counted(cells: DataFrame) -> np.ndarray:
+    """The sums of all partitions' counters; COUNTERS numbers reach the driver. Cells are summed as they stream by."""
 
-    return rows.mapInArrow(run, "doc long, n long, h1 long, h2 long, bucket int")
+    def run(batches):
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for cell, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                total[cell] = total.get(cell, 0) + np.frombuffer(counts.as_buffer(), np.uint32).astype(np.uint64)
+        for cell, counts in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([cell], pa.int32()), pa.array([counts.tobytes()], pa.binary())], names=["cell", "counts"])
+
+    n = min(64, int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    found = cells.select("cell", "counts").repartition(n, "cell").mapInArrow(run, "cell int, counts binary").toArrow()
+    out = np.zeros(COUNTERS)
+    for cell, counts in zip(found["cell"].to_pylist(), found["counts"].to_pylist(), strict=True):
+        out[cell * CELL : (cell + 1) * CELL] = np.frombuffer(counts, np.uint64)
+    return out
 
 
 def _prefix_length(n: np.ndarray, threshold: Fraction) -> np.ndarray:
@@ -135,10 +168,13 @@ def prefixes(rows: DataFrame, k: int, threshold: Fraction, levels, parts, wanted
 
 
 def regions(posted: DataFrame, parts) -> DataFrame:
-    """token, doc, n, pos and the region's first pivot (ldoc, ln, lpos), for tokens of at least two sets.
+    """token, doc, n, pos and the region's first pivot (ldoc, ln, lpos), for tokens of at least two sets. split: whether the
+    region is read in parts, whose first pivots differ.
 
     Rows come sorted by token, part, pos and doc, so the first of a token is its pivot; only that row and one batch are held."""
-    names = ["token", "doc", "n", "pos", "ldoc", "ln", "lpos"]
+    names = ["token", "doc", "n", "pos", "ldoc", "ln", "lpos", "split"]
+
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()]
 
     def run(batches):
         last, pending = None, False  # the first row of the current (token, part), and whether it is still to be reported
@@ -156,15 +192,15 @@ def regions(posted: DataFrame, parts) -> DataFrame:
             if len(token) and new[-1] and not split[-1]:
                 keep[-1] = False
             if pending and len(token) and not new[0]:
-                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((last[0], *last[2:], *last[2:]), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((last[0], *last[2:], *last[2:], False), kinds, strict=True)], names=names)
             if len(token):
                 pending = bool(new[-1] and not split[-1])
                 if new.any():
                     i = int(start[-1])
                     last = (int(token[i]), int(part[i]), int(doc[i]), int(n[i]), int(pos[i]))
-            yield pa.RecordBatch.from_arrays([pa.array(x[keep], t) for x, t in zip((token, doc, n, pos, *lead), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep], t) for x, t in zip((token, doc, n, pos, *lead, split), kinds, strict=True)], names=names)
 
-    return posted.mapInArrow(run, "token long, doc long, n int, pos int, ldoc long, ln int, lpos int")
+    return posted.mapInArrow(run, "token long, doc long, n int, pos int, ldoc long, ln int, lpos int, split boolean")
 
 
 def sets(rows: DataFrame, k: int, wanted) -> DataFrame:
@@ -230,27 +266,28 @@ def _pair(x: str, p: str) -> list:
     return [F.least(x, p).alias("x"), F.greatest(x, p).alias("p")]
 
 
-def _regions(spark, rows: DataFrame, classes: DataFrame, k: int, threshold: Fraction, counts: np.ndarray) -> DataFrame:
+def _regions(spark, rows: DataFrame, classes: DataFrame, k: int, threshold: Fraction, counts: np.ndarray) -> tuple[DataFrame, list[DataFrame]]:
+    """The regions, and the scratch tables that they read."""
     levels = spark.sparkContext.broadcast(np.minimum(255, 8 * np.log2(1 + counts)).astype(np.uint8))
     # What a counter holds beyond twice the usual is taken for one hot token.
     parts = np.maximum(1, np.ceil((counts - 2 * np.median(counts)) / PART)).astype(np.uint32)
-    hot = bool(parts.max() > 1)
     parts = spark.sparkContext.broadcast(parts)
     wanted = spark.sparkContext.broadcast(_id_filter(classes.select("class")))
     posted = prefixes(rows, k, threshold, levels, parts, wanted)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = scratch.table(regions(posted.repartition(n, "token", "part").sortWithinPartitions("token", "part", "pos", "doc"), parts), "regions")
-    if not hot:
-        return found
+    apart = found.where("split").drop("split")
+    if apart.isEmpty():
+        return found.drop("split"), [found]
     # Parts of a region agree on one first pivot; regions of one set are no longer of use.
-    first = scratch.table(found.groupBy("token").agg(F.min(F.struct("lpos", "ldoc", "ln")).alias("first"), F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b"), "first")
-    out = scratch.table(found.drop("ldoc", "ln", "lpos").join(first, "token").select("token", "doc", "n", "pos", F.col("first.ldoc").alias("ldoc"), F.col("first.ln").alias("ln"), F.col("first.lpos").alias("lpos")), "regions")
-    scratch.release(found, first)
-    return out
+    first = apart.groupBy("token").agg(F.min(F.struct("lpos", "ldoc", "ln")).alias("first"), F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b")
+    one = scratch.table(apart.drop("ldoc", "ln", "lpos").join(scratch.table(first, "first"), "token").select("token", "doc", "n", "pos", F.col("first.ldoc").alias("ldoc"), F.col("first.ln").alias("ln"), F.col("first.lpos").alias("lpos")), "regions")
+    return found.where("not split").drop("split").unionByName(one), [found, one]
 
 
-def _link(spark, rows: DataFrame, found: DataFrame, k: int, threshold: Fraction, extra: DataFrame) -> DataFrame:
-    """node, label of all classes that link with others. found: the regions; extra: links (a, b) known beforehand."""
+def _link(spark, rows: DataFrame, found: DataFrame, made: list[DataFrame], k: int, threshold: Fraction, extra: DataFrame) -> DataFrame:
+    """node, label of all classes that link with others. found: the regions, from the tables made; extra: links (a, b) known
+    beforehand."""
     a, b = threshold.numerator, threshold.denominator
     eps = 1 - a / b + 1e-9
     wanted = spark.sparkContext.broadcast(_id_filter(found.select("doc")))
@@ -285,7 +322,7 @@ def _link(spark, rows: DataFrame, found: DataFrame, k: int, threshold: Fraction,
     to_first = known.select("x", "p", (1 - F.col("shared") / F.col("together")).alias("d"))
     left = found.where(F.col("doc") != F.col("ldoc")).select("token", "doc", "n", "pos", *_pair("doc", "ldoc"))
     left = scratch.table(left.join(to_first, ["x", "p"], "left").select("token", "doc", "n", "pos", "d"), "left")
-    scratch.release(found)
+    scratch.release(*made)
     while True:
         marked = left.join(labels.select(F.col("node").alias("doc"), "label"), "doc", "left").select("token", "doc", "n", "pos", "d", F.coalesce("label", "doc").alias("part"))
         marked = scratch.table(marked, "marked")
@@ -318,17 +355,15 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4, thr
     rows = df.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
     named = rows.where(F.col("doc").isNotNull())
     first = scratch.table(scan(rows, k), "shingles")
-    docs = first.where(F.col("bucket").isNull())
+    docs = first.where(F.col("cell").isNull()).drop("cell", "counts")
     full = docs.where(F.col("doc").isNotNull() & (F.col("n") > 0))
     classes = scratch.table(full.groupBy("h1", "h2", "n").agg(F.min("doc").alias("class")), "classes")
-    counted = first.where(F.col("bucket").isNotNull()).groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # COUNTERS rows
-    counts = np.zeros(COUNTERS)
-    counts[counted["bucket"].to_numpy()] = counted["n"].to_numpy()
+    counts = _counted(first.where(F.col("cell").isNotNull()))
     # Rows that share an id are one document, so their classes are linked.
     again = full.groupBy("doc").agg(F.count("*").alias("rows")).where("rows > 1").select("doc")
     extra = full.join(again, "doc").join(classes, ["h1", "h2", "n"]).select("doc", "class").distinct()
     extra = extra.select(F.col("class").alias("a"), F.col("doc").alias("b"))
-    labels = _link(spark, named, _regions(spark, named, classes, k, threshold, counts), k, threshold, extra)
+    labels = _link(spark, named, *_regions(spark, named, classes, k, threshold, counts), k, threshold, extra)
     placed = scratch.table(classes.join(labels.select(F.col("node").alias("class"), "label"), "class", "left").select("h1", "h2", "n", F.coalesce("label", "class").alias("component")), "placed")
     scratch.release(classes, labels)
     out = docs.where(F.col("n") > 0).join(placed, ["h1", "h2", "n"], "left").select("doc", "n", F.when(F.col("doc").isNotNull(), F.col("component")).alias("component"))
