@@ -109,7 +109,7 @@ def scan(rows: DataFrame, k: int) -> DataFrame:
         for first in range(0, COUNTERS, CELL * 64):
             cells = [i for i in range(first, first + CELL * 64, CELL) if counts[i : i + CELL].any()]
             none = pa.nulls(len(cells), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array([i // CELL for i in cells], pa.int32()), pa.array([counts[i : i + CELL].tobytes() for i in cells], pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array([i // CELL for i in cells], pa.int32()), pa.array([np.minimum(counts[i : i + CELL], 65535).astype(np.uint16).tobytes() for i in cells], pa.binary())], names=names)
 
     return rows.mapInArrow(run, "doc long, n long, h1 long, h2 long, cell int, counts binary")
 
@@ -121,7 +121,7 @@ def _counted(cells: DataFrame) -> np.ndarray:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for cell, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                total[cell] = total.get(cell, 0) + np.frombuffer(counts.as_buffer(), np.uint32).astype(np.uint64)
+                total[cell] = total.get(cell, 0) + np.frombuffer(counts.as_buffer(), np.uint16).astype(np.uint64)
         for cell, counts in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([cell], pa.int32()), pa.array([counts.tobytes()], pa.binary())], names=["cell", "counts"])
 
@@ -355,10 +355,11 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4, thr
     rows = df.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
     named = rows.where(F.col("doc").isNotNull())
     first = scratch.table(scan(rows, k), "shingles")
-    docs = first.where(F.col("cell").isNull()).drop("cell", "counts")
+    docs = scratch.table(first.where(F.col("cell").isNull()).drop("cell", "counts"), "documents")
     full = docs.where(F.col("doc").isNotNull() & (F.col("n") > 0))
     classes = scratch.table(full.groupBy("h1", "h2", "n").agg(F.min("doc").alias("class")), "classes")
     counts = _counted(first.where(F.col("cell").isNotNull()))
+    scratch.release(first)
     # Rows that share an id are one document, so their classes are linked.
     again = full.groupBy("doc").agg(F.count("*").alias("rows")).where("rows > 1").select("doc")
     extra = full.join(again, "doc").join(classes, ["h1", "h2", "n"]).select("doc", "class").distinct()
