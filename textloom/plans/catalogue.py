@@ -120,6 +120,8 @@ simple("split_skip_empty", "pages", "page_id", "SELECT page_id, array_to_string(
 simple("split_byteset", "pages", "page_id", "SELECT page_id, array_to_string(string_split_regex(url, '[/.:]'), '|') AS parts FROM pages", parts=lambda: _joined(split.split_byteset("url", "/.:")))
 simple("rsplit_byteset", "pages", "page_id", "SELECT page_id, regexp_replace(url, '^(.*)[/.:]([^/.:]*)$', '\\1|\\2') AS parts FROM pages", parts=lambda: _joined(split.rsplit_byteset("url", "/.:", 1)))
 simple("splitlines", "documents", "doc_id", "SELECT doc_id, CASE WHEN text = '' THEN 0 ELSE len(string_split_regex(text, '[\\n\\v\\f\\r\\x1c-\\x1e]')) - CASE WHEN regexp_matches(text, '[\\n\\v\\f\\r\\x1c-\\x1e]$') THEN 1 ELSE 0 END END AS n, sha256(regexp_replace(text, '[\\n\\v\\f\\r\\x1c-\\x1e]$', '')) AS digest FROM documents", n=lambda: _size(split.splitlines("text")), digest=lambda: hashing.sha256_hex(_joined(split.splitlines("text"), "\n")))
+_BREAKS = "('0A', '0B', '0C', '0D', '85', '1C', '1D', '1E')"
+simple("splitlines_bytes", "benchmark", "item_id", f"SELECT item_id, CASE WHEN text = '' THEN 0 ELSE len(list_filter(regexp_extract_all(hex(text), '..'), lambda h: h IN {_BREAKS})) + CASE WHEN right(hex(text), 2) IN {_BREAKS} THEN 0 ELSE 1 END END AS n FROM benchmark", n=lambda: _size(split.splitlines_bytes("text")))
 _WS = "[\\x{9}-\\x{D}\\x{20}\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]"
 simple("newlines", "documents", "doc_id", "SELECT doc_id, len(regexp_extract_all(text, '\\r\\n|[\\n\\x{B}\\f\\r\\x{85}\\x{2028}\\x{2029}]')) AS n FROM documents", n=lambda: _size(split.newlines("text")))
 simple("split_newlines", "documents", "doc_id", "SELECT doc_id, len(string_split_regex(text, '\\r\\n|[\\n\\x{B}\\f\\r\\x{85}\\x{2028}\\x{2029}]')) AS n FROM documents", n=lambda: _size(split.split_newlines("text")))
@@ -140,6 +142,7 @@ simple("translate_rot13", "documents", "doc_id", f"SELECT doc_id, sha256(transla
 simple("ascii_case", "documents", "doc_id", f"SELECT doc_id, sha256(translate(text, '{_ABC.upper()}', '{_ABC}')) AS low, sha256(translate(text, '{_ABC}', '{_ABC.upper()}')) AS up FROM documents", low=lambda: hashing.sha256_hex(transform.ascii_lower("text")), up=lambda: hashing.sha256_hex(transform.ascii_upper("text")))
 simple("replace_all", "documents", "doc_id", "SELECT doc_id, sha256(replace(text, 'the', 'THE')) AS a, sha256(regexp_replace(text, '[aeiou]', '*', 'g')) AS b FROM documents", a=lambda: hashing.sha256_hex(transform.replace_all("text", "the", "THE")), b=lambda: hashing.sha256_hex(transform.replace_byteset("text", "aeiou", "*")))
 simple("edit_in_place", "pages", "page_id", "SELECT page_id, left(url, 5) || '[]' || substr(url, 6) AS a, left(url, 2) || substr(url, 6) AS b, repeat('x', length(url)) AS c FROM pages", a=lambda: transform.insert("url", 5, "[]").cast("string"), b=lambda: transform.erase("url", 2, 3).cast("string"), c=lambda: transform.fill("url", 120).cast("string"))
+simple("resize_texts", "pages", "page_id", "SELECT page_id, rpad(url, 24, '_') AS s FROM pages", s=lambda: transform.resize("url", 24, 95).cast("string"))
 simple("decode_bytes", "benchmark", "item_id", "SELECT item_id, text AS a, text AS b FROM benchmark", a=lambda: transform.decode(F.col("text").cast("binary")), b=lambda: transform.decode(F.col("text").cast("binary"), errors="replace"))
 
 # Digests, hashes, ciphers
@@ -172,6 +175,7 @@ simple("utf8_seek", "documents", "doc_id", "SELECT doc_id, CASE WHEN length(text
 simple("graphemes", "documents", "doc_id", "SELECT doc_id, length_grapheme(text) AS n FROM documents", n=lambda: _size(unicode.graphemes("text")))
 simple("fold_docs", "documents", "doc_id", "SELECT doc_id, sha256(replace(lower(text), 'ß', 'ss')) AS digest FROM documents", digest=lambda: hashing.sha256_hex(unicode.fold("text")))
 simple("uncased_search", "documents", "doc_id", "SELECT doc_id, instr(lower(text), 'tion') - 1 AS found_at, contains(lower(text), 'tion') AS hit FROM documents", found_at=lambda: unicode.uncased_search("text", "TioN"), hit=lambda: unicode.uncased_contains("text", "TIOn"))
+simple("uncased_search_bytes", "documents", "doc_id", "SELECT doc_id, CASE WHEN contains(lower(text), 'tion') THEN strlen(left(text, instr(lower(text), 'tion') - 1)) ELSE -1 END AS found_at FROM documents", found_at=lambda: unicode.uncased_search_bytes("text", "TION"))
 simple("uncased_matches", "documents", "doc_id", "SELECT doc_id, (length(text) - length(replace(lower(text), 'ing', ''))) // 3 AS n FROM documents", n=lambda: _size(unicode.uncased_matches("text", "ING")))
 simple("uncased_order", "part", "p_partkey", "SELECT p_partkey, CASE WHEN lower(p_type) < 'n' THEN -1 WHEN lower(p_type) > 'n' THEN 1 ELSE 0 END AS ord FROM part", ord=lambda: unicode.uncased_order("p_type", F.lit("N")))
 simple("find_cased", "pages", "page_id", "SELECT page_id, length(regexp_extract(url, '^[^a-zA-Z]*')) AS found_at FROM pages", found_at=lambda: unicode.find_cased("url"))
@@ -208,6 +212,24 @@ def argsort_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collection.argsort(_table(spark, sf_dir, "orders"), F.char_length("o_orderpriority"), "o_orderkey").select("o_orderkey", "position")
 
 
+@query("SELECT o_orderkey FROM orders ORDER BY o_orderkey")
+def sort_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collection.sort_numbers(_table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", "o_orderkey")
+
+
+@query("SELECT n_nationkey AS k FROM nation UNION SELECT r_regionkey FROM region")
+def union_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k")), _table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("k"))
+    return collection.union_numbers(a, b, "k")
+
+
+@query("SELECT (SELECT count(*) FROM nation) = 25 AS same, 1 AS ord")
+def compare_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("idx"), F.col("n_name").alias("s"))
+    b = a.where("idx < 24")
+    return spark.range(1).select(F.lit(collection.equal(a, a) and not collection.equal(a, b)).alias("same"), F.lit(collection.compare(a, b)).alias("ord"))
+
+
 @query("SELECT doc_id, (doc_id - 10) // 7 AS place FROM documents WHERE doc_id >= 10 AND doc_id < 500 AND (doc_id - 10) % 7 = 0")
 def slice_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collection.rows(_table(spark, sf_dir, "documents").select("doc_id"), 10, 500, 7, idx="doc_id")
