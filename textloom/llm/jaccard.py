@@ -318,16 +318,17 @@ def _link(spark, rows: DataFrame, found: DataFrame, made: list[DataFrame], k: in
         old, known = known, scratch.table(known.unionByName(new), "known")
         scratch.release(old, new)
     scratch.release(met, best, rest)
-    # A region's first pivot is linked with its members, apart from them, or in one component; d is the distance, where measured.
-    to_first = known.select("x", "p", (1 - F.col("shared") / F.col("together")).alias("d"))
-    left = found.where(F.col("doc") != F.col("ldoc")).select("token", "doc", "n", "pos", *_pair("doc", "ldoc"))
-    left = scratch.table(left.join(to_first, ["x", "p"], "left").select("token", "doc", "n", "pos", "d"), "left")
+    # A region's first pivot is linked with its members, apart from them, or in one component by now.
+    left = scratch.table(found.where(F.col("doc") != F.col("ldoc")).select("token", "doc", "n", "pos", "ldoc"), "left")
     scratch.release(*made)
     while True:
-        marked = left.join(labels.select(F.col("node").alias("doc"), "label"), "doc", "left").select("token", "doc", "n", "pos", "d", F.coalesce("label", "doc").alias("part"))
+        marked = left.join(labels.select(F.col("node").alias("doc"), "label"), "doc", "left").select("token", "doc", "n", "pos", "ldoc", F.coalesce("label", "doc").alias("part"))
         marked = scratch.table(marked, "marked")
         mixed = scratch.table(marked.groupBy("token").agg(F.min("part").alias("u"), F.max("part").alias("v")).where("u < v").select("token"), "mixed")
-        active = scratch.table(marked.join(mixed, "token"), "active")
+        # d is a member's distance to the region's first pivot, where it was measured.
+        to_first = known.select("x", "p", (1 - F.col("shared") / F.col("together")).alias("d")).groupBy("x", "p").agg(F.min("d").alias("d"))
+        active = marked.join(mixed, "token").select("token", "doc", "n", "pos", "ldoc", "part", *_pair("doc", "ldoc"))
+        active = scratch.table(active.join(to_first, ["x", "p"], "left").drop("x", "p"), "active")
         scratch.release(left, marked, mixed)
         if active.isEmpty():
             scratch.release(active, members, known)
@@ -345,7 +346,7 @@ def _link(spark, rows: DataFrame, found: DataFrame, made: list[DataFrame], k: in
         new = scratch.table(measure(pairs, members), "known")
         old, known = known, scratch.table(known.unionByName(new), "known")
         labels = absorb(linked(new), labels)
-        left = scratch.table(active.join(pivots.select("token", F.col("pivot").alias("doc")), ["token", "doc"], "left_anti").select("token", "doc", "n", "pos", "d"), "left")
+        left = scratch.table(active.join(pivots.select("token", F.col("pivot").alias("doc")), ["token", "doc"], "left_anti").select("token", "doc", "n", "pos", "ldoc"), "left")
         scratch.release(main, pivots, pairs, new, old, active)
 
 
