@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
@@ -37,6 +38,19 @@ def default_pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+def pieces(batch: pa.RecordBatch, place: int, limit: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """A batch in slices whose values in one column take about limit bytes at most, so ids and strings of few rows are held."""
+    column = batch.column(place)
+    wide = pa.types.is_list(column.type) or pa.types.is_large_list(column.type)
+    ends = np.asarray(column.offsets) if wide else np.concatenate(([0], np.cumsum(pa.compute.fill_null(pa.compute.binary_length(column), 0).to_numpy(zero_copy_only=False))))
+    ends = (ends - ends[0]) * (4 if wide else 1)
+    at = 0
+    while at < batch.num_rows:
+        stop = max(at + 1, int(np.searchsorted(ends, ends[at] + limit, "right")) - 1)
+        yield batch.slice(at, min(stop, batch.num_rows) - at)
+        at = stop
+
+
 class Codec:
     def __init__(self, ranks_path: str, pattern: str):
         import tiktoken
@@ -91,7 +105,7 @@ def encode(df: DataFrame, text: str = "text", ids: str = "ids", ranks_path: str
 
     def run(batches):
         own = codec(ranks_path, pattern)
-        for batch in batches:
+        for batch in (part for whole in batches for part in pieces(whole, place)):
             found = [own.encode(x or "") for x in batch.column(place).to_pylist()]
             offsets = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
             values = np.concatenate([np.zeros(0, np.uint32), *found]).astype(np.int32)
@@ -110,8 +124,8 @@ def decode(df: DataFrame, ids: str = "ids", raw: str = "raw", ranks_path: str |
 
     def run(batches):
         own = codec(ranks_path, pattern)
-        for batch in batches:
-            out = [own.decode(np.array(x or [], np.uint32)) for x in batch.column(place).to_pylist()]
+        for batch in (part for whole in batches for part in pieces(whole, place)):
+            out = [own.decode(x.values.to_numpy() if x.is_valid else np.zeros(0, np.uint32)) for x in batch.column(place)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, raw])
 
     return df.mapInArrow(run, schema)
