@@ -44,8 +44,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, and the digest of the bytes that they decode to."""
-    encoded = bpe.encode(docs.select("doc_id", "lang", "source", "text")).drop("text")
-    return bpe.decode(encoded).select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("raw", 256).alias("decoded_sha256"))
+    return bpe.encode_and_check(docs, ["doc_id", "lang", "source"])
 
 
 STAGES = [

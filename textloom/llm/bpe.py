@@ -131,6 +131,25 @@ def decode(df: DataFrame, ids: str = "ids", raw: str = "raw", ranks_path: str |
     return df.mapInArrow(run, schema)
 
 
+def encode_and_check(df: DataFrame, keep: list[str], text: str = "text", ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
+    """The columns in keep, n_tokens, ids, and decoded_sha256: the digest of the bytes that the ids decode to. One pass, one Python worker for each task."""
+    ranks_path, pattern = ranks_path or default_ranks(), pattern or default_pattern()
+    rows = df.select(*keep, F.col(text).alias("__text"))
+    schema = ", ".join(f"`{x}` {df.schema[x].dataType.simpleString()}" for x in keep) + ", n_tokens long, ids array<int>, decoded_sha256 string"
+
+    def run(batches):
+        own = codec(ranks_path, pattern)
+        for batch in (part for whole in batches for part in pieces(whole, len(keep))):
+            found = [own.encode(x or "") for x in batch.column(len(keep)).to_pylist()]
+            count = np.array([len(x) for x in found], np.int64)
+            offsets = np.concatenate(([0], np.cumsum(count))).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.uint32), *found]).astype(np.int32)))
+            decoded = [hashlib.sha256(own.decode(x)).hexdigest() for x in found]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(count), ids, pa.array(decoded, pa.string())], names=[*keep, "n_tokens", "ids", "decoded_sha256"])
+
+    return rows.mapInArrow(run, schema)
+
+
 def digests(df: DataFrame, key: str = "doc_id", text: str = "text", ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
     """Encodes and decodes each text in one pass and returns the digests of both: key, n_tokens, ids_sha256, decoded_sha256."""
     ranks_path, pattern = ranks_path or default_ranks(), pattern or default_pattern()

@@ -39,6 +39,9 @@ MOST_FEATURES = 20_000
 #: Longest word and longest spaced run that is decoded in one piece.
 LONGEST = 48
 
+#: Tokens whose reading a task remembers.
+CACHE = 100_000
+
 #: What signs can stand for (fixed values of the channel).
 RESEMBLES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "gq", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "¡": "i", "£": "l", "¥": "y", "*": "aeiou", "#": "h"}
 SEPARATORS = set(".-_*~'^·:,;/\\|+=")
@@ -146,7 +149,7 @@ def restored(text: str, model: CharacterModel, cache: dict[str, tuple[str, ...]]
                 for part in (token[i : i + LONGEST] for i in range(0, len(token), LONGEST)) if len(token) > LONGEST else (token,):
                     body = _STRIP.sub("", part)
                     got += (decode(body, model), decode(_plain(body), model))
-            if len(cache) > 400_000:
+            if len(cache) > CACHE:
                 cache.clear()
             cache[token] = got
         out.update(got)
