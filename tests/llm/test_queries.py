@@ -103,6 +103,12 @@ def test_op3(spark, texts):
     assert sum(r.kept for r in clean) >= 0.99 * len(clean)
 
 
+def test_op3_rejects_low_quality_rows(spark):
+    quality = {r.doc_id: r.quality for r in spark.read.parquet(f"{MEDIUM}/labels.parquet").collect()}
+    low = [r for r in registry.queries()["op3_quality"](spark, MEDIUM).collect() if quality.get(r.doc_id) == 0 and not r.base_failed]
+    assert len(low) > 20 and sum(not r.kept for r in low) >= 0.9 * len(low)
+
+
 def test_op4(spark, texts):
     rows = registry.queries()["op4_sharding"](spark, SMALL).collect()
     assert {r.doc_id for r in rows} == set(texts) and all(r.law == "bytes" and r.grown_shard is None for r in rows)

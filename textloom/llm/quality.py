@@ -2,9 +2,9 @@
 
 Two histograms describe a text: character classes (of all bytes) and common words (the language's most frequent words,
 and one bin for all others). A language's references are the same histograms summed over every document that carries the
-language. A text is rejected if the Jensen-Shannon distance to the nearest reference is above a threshold, for either
-histogram; each test has a minimum length below which it isn't applied. A text is compared with its own language's
-references if it names one, else with all.
+language. A text is rejected if the Jensen-Shannon distance to every reference it is compared with is above that reference's
+limit, for either histogram; each test has a minimum length below which it isn't applied. A text is compared with its own
+language's references if it names one, else with all. A third pass takes the limit of characters from the distances of all texts.
 
 Common words are found exactly in two passes. A word with a share of at least PHI in a language has at least that share
 in some block of the corpus, so each block reports its words with a share of PHI / 2 or more; summed lower bounds of less than
@@ -34,10 +34,14 @@ BLOCK = 2_000_000
 #: A language needs so many words to have references.
 LEAST_REFERENCE = 500
 #: Least length of a text, and largest distance, for the test of character classes (bytes) and of common words (words).
-CHARS_FROM, CHARS_MOST = 200, 0.4
+#: The limit for characters stands CHARS_ABOVE over the median distance of the language's texts, so it moves with a reference
+#: that holds junk; CHARS_MOST is for references without texts that are long enough.
+CHARS_FROM, CHARS_ABOVE, CHARS_MOST = 200, 0.21, 0.32
 WORDS_FROM, WORDS_MOST = 80, 0.45
 
 SYMBOLS = b"#*$%&|<>"
+#: Steps of a distance in which the texts of a language are counted for their median.
+STEPS = 1024
 CLASSES = ["lower", "upper", "digit", "space", "line", "stop", "quote", "bracket", "symbol", "letter beyond ASCII", "control"]
 _CLASS = np.full(256, 8, np.uint8)
 _CLASS[97:123], _CLASS[65:91], _CLASS[48:58] = 0, 1, 2
@@ -141,7 +145,7 @@ def _candidates(rows: DataFrame, phi: float) -> dict[str, list[bytes]]:
 
 
 class References:
-    """Per language: its common words and the two reference distributions."""
+    """Per language: its common words, the two reference distributions and the limit of the distance in characters."""
 
     def __init__(self, words: dict[str, list[bytes]], counts: dict[str, np.ndarray], phi: float):
         self.langs = sorted(words)
@@ -154,6 +158,7 @@ class References:
             self.index.append({words[x][j]: i for i, j in enumerate(keep)})
             self.words.append(np.append(hits[keep], total - hits[keep].sum()) / max(total, 1))
             self.chars.append(chars / max(chars.sum(), 1))
+        self.chars_most = np.full(len(self.langs), CHARS_MOST)
 
 
 def references(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", phi: float = PHI) -> References:
@@ -184,7 +189,37 @@ def references(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     found: dict[str, np.ndarray] = {}
     for r in rows.where(F.col("lang").isNotNull()).mapInArrow(run, "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")).collect():
         found.setdefault(r.lang, np.zeros(len(CLASSES) + len(words[r.lang]) + 1, np.int64))[r.bin] = r.n
-    return References(words, found, phi)
+    refs = References(words, found, phi)
+    for name, counts in _char_distances(rows, refs).items():
+        median = (np.searchsorted(np.cumsum(counts), counts.sum() / 2) + 1) / STEPS
+        refs.chars_most[refs.place[name]] = median + CHARS_ABOVE
+    return refs
+
+
+def _char_distances(rows: DataFrame, refs: References) -> dict[str, np.ndarray]:
+    """Per language, how many of its texts have which distance in characters, in steps of 1 / STEPS."""
+    shared = rows.sparkSession.sparkContext.broadcast((refs.place, refs.chars))
+
+    def run(batches):
+        place, chars = shared.value
+        total: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for c, codes, names in _by_language(batch):
+                kinds, size = _class_counts(c), np.diff(c.offsets)
+                for code, name in enumerate(names):
+                    at = np.flatnonzero((codes == code) & (size >= CHARS_FROM))
+                    if name in place and len(at):
+                        steps = (distance(kinds[at] / size[at, None], chars[place[name]]) * STEPS).astype(int)
+                        total[name] = total.get(name, 0) + np.bincount(np.minimum(steps, STEPS - 1), minlength=STEPS)
+        for name, sums in total.items():
+            at = np.flatnonzero(sums)
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(sums[at])], names=["lang", "step", "n"])
+
+    out: dict[str, np.ndarray] = {}
+    if refs.langs:
+        for r in rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).mapInArrow(run, "lang string, step int, n long").groupBy("lang", "step").agg(F.sum("n").alias("n")).collect():
+            out.setdefault(r.lang, np.zeros(STEPS, np.int64))[r.step] = r.n
+    return out
 
 
 def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -212,18 +247,20 @@ def rules(df: DataFrame, refs: References, key: str = "doc_id", text: str = "tex
                 failed = (n_words < 20) | (100 * n_repeat > 30 * n_words)
                 raw, kinds, size = c.raw.tobytes(), _class_counts(c), np.diff(c.offsets)
                 by_char, by_word = np.full(c.n, np.nan), np.full(c.n, np.nan)
+                odd_char = np.zeros(c.n, bool)
                 for i in np.flatnonzero(size >= CHARS_FROM):
                     own = r.place.get(langs[codes[i]]) if codes[i] >= 0 else None
                     against = range(len(r.langs)) if own is None else [own]
                     if len(against):
-                        by_char[i] = min(distance(kinds[i] / size[i], r.chars[k]) for k in against)
+                        found = [distance(kinds[i] / size[i], r.chars[k]) for k in against]
+                        by_char[i], odd_char[i] = min(found), all(d > r.chars_most[k] for d, k in zip(found, against, strict=True))
                     if len(against) and n_words[i] >= WORDS_FROM:
                         words = raw[c.offsets[i] : c.offsets[i + 1]].split()
                         for k in against:
                             hits = np.array([x for x in map(r.index[k].get, words) if x is not None], np.int64)
                             h = np.append(np.bincount(hits, minlength=len(r.index[k])), len(words) - len(hits)) / len(words)
                             by_word[i] = np.fmin(by_word[i], distance(h, r.words[k]))
-                kept = ~failed & ~(by_char > CHARS_MOST) & ~(by_word > WORDS_MOST)
+                kept = ~failed & ~odd_char & ~(by_word > WORDS_MOST)
                 parts.append((n_words, n_chars, n_symbols, n_lines, n_repeat, failed, by_char, by_word, kept))
             if parts:
                 columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
