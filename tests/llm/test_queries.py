@@ -11,7 +11,7 @@ import pyspark.sql.functions as F
 import pytest
 
 import corpus_pipeline
-from textloom.llm import bpe, registry, scratch, toxicity
+from textloom.llm import bpe, quality, registry, scratch, toxicity
 
 SMALL, MEDIUM = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 
@@ -109,6 +109,16 @@ def test_op3_rejects_low_quality_rows(spark):
     assert len(low) > 20 and sum(not r.kept for r in low) >= 0.9 * len(low)
 
 
+def test_op3_rejects_texts_without_common_words(spark):
+    docs = spark.read.parquet(f"{MEDIUM}/documents.parquet").join(spark.read.parquet(f"{MEDIUM}/labels.parquet").where("quality = 1"), "doc_id")
+    refs = quality.references(spark.read.parquet(f"{MEDIUM}/documents.parquet"))
+    odd = docs.where("lang <> 'en'").withColumn("lang", F.lit("en"))
+    rows = quality.rules(odd, refs).where("not base_failed and word_distance is not null").collect()
+    assert len(rows) > 80 and sum(not r.kept for r in rows) >= 0.9 * len(rows)
+    other = spark.createDataFrame([(1, " ".join(f"Wo{i} thing," for i in range(200)), "en")], "doc_id long, text string, lang string")
+    assert [r.kept for r in quality.rules(other, refs).collect()] == [False]
+
+
 def test_op4(spark, texts):
     rows = registry.queries()["op4_sharding"](spark, SMALL).collect()
     assert {r.doc_id for r in rows} == set(texts) and all(r.law == "bytes" and r.grown_shard is None for r in rows)

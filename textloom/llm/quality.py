@@ -38,6 +38,9 @@ LEAST_REFERENCE = 500
 #: that holds junk; CHARS_MOST is for references without texts that are long enough.
 CHARS_FROM, CHARS_ABOVE, CHARS_MOST = 200, 0.21, 0.32
 WORDS_FROM, WORDS_MOST = 80, 0.45
+#: A text without any of its language's common words has a distance that the reference gives; the limit for words is this share
+#: of it, if that is below WORDS_MOST and common words are frequent enough that a text of WORDS_FROM words must hold some.
+BARE, LEAST_COMMON = 0.93, 0.2
 
 SYMBOLS = b"#*$%&|<>"
 #: Steps of a distance in which the texts of a language are counted for their median.
@@ -145,7 +148,7 @@ def _candidates(rows: DataFrame, phi: float) -> dict[str, list[bytes]]:
 
 
 class References:
-    """Per language: its common words, the two reference distributions and the limit of the distance in characters."""
+    """Per language: its common words, the two reference distributions and the limits of both distances."""
 
     def __init__(self, words: dict[str, list[bytes]], counts: dict[str, np.ndarray], phi: float):
         self.langs = sorted(words)
@@ -159,6 +162,8 @@ class References:
             self.words.append(np.append(hits[keep], total - hits[keep].sum()) / max(total, 1))
             self.chars.append(chars / max(chars.sum(), 1))
         self.chars_most = np.full(len(self.langs), CHARS_MOST)
+        bare = [float(distance(np.eye(len(x))[-1], x)) for x in self.words]
+        self.words_most = [min(WORDS_MOST, BARE * d) if x[-1] <= 1 - LEAST_COMMON else WORDS_MOST for d, x in zip(bare, self.words, strict=True)]
 
 
 def references(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", phi: float = PHI) -> References:
@@ -247,7 +252,7 @@ def rules(df: DataFrame, refs: References, key: str = "doc_id", text: str = "tex
                 failed = (n_words < 20) | (100 * n_repeat > 30 * n_words)
                 raw, kinds, size = c.raw.tobytes(), _class_counts(c), np.diff(c.offsets)
                 by_char, by_word = np.full(c.n, np.nan), np.full(c.n, np.nan)
-                odd_char = np.zeros(c.n, bool)
+                odd_char, odd_word = np.zeros(c.n, bool), np.zeros(c.n, bool)
                 for i in np.flatnonzero(size >= CHARS_FROM):
                     own = r.place.get(langs[codes[i]]) if codes[i] >= 0 else None
                     against = range(len(r.langs)) if own is None else [own]
@@ -256,11 +261,13 @@ def rules(df: DataFrame, refs: References, key: str = "doc_id", text: str = "tex
                         by_char[i], odd_char[i] = min(found), all(d > r.chars_most[k] for d, k in zip(found, against, strict=True))
                     if len(against) and n_words[i] >= WORDS_FROM:
                         words = raw[c.offsets[i] : c.offsets[i + 1]].split()
+                        odd_word[i] = True
                         for k in against:
                             hits = np.array([x for x in map(r.index[k].get, words) if x is not None], np.int64)
                             h = np.append(np.bincount(hits, minlength=len(r.index[k])), len(words) - len(hits)) / len(words)
-                            by_word[i] = np.fmin(by_word[i], distance(h, r.words[k]))
-                kept = ~failed & ~odd_char & ~(by_word > WORDS_MOST)
+                            d = distance(h, r.words[k])
+                            by_word[i], odd_word[i] = np.fmin(by_word[i], d), odd_word[i] and d > r.words_most[k]
+                kept = ~failed & ~odd_char & ~odd_word
                 parts.append((n_words, n_chars, n_symbols, n_lines, n_repeat, failed, by_char, by_word, kept))
             if parts:
                 columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
