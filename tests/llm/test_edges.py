@@ -231,6 +231,15 @@ def test_toxicity(spark, docs, empty):
     assert {r.score for r in toxicity.score(docs, none).collect()} == {0.0}
 
 
+def test_toxicity_in_long_tokens(spark):
+    rows = [(i, f"fine text number {i} about things" + (" you idiotic fool" if i % 3 == 0 else "")) for i in range(90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.fit(df.select("doc_id", (F.col("doc_id") % 3 == 0).cast("int").alias("toxic")), df)
+    for n in range(30, 60):
+        filler = ("fine_text.about_" * 5)[:n]
+        assert model.score(f"{filler}.1d10t1c.{filler}", {}) >= 0.7 > model.score(f"{filler}.things.{filler}", {}), n
+
+
 def crc(i):
     return zlib.crc32(str(i).encode())
 

@@ -146,8 +146,10 @@ def restored(text: str, model: CharacterModel, cache: dict[str, tuple[str, ...]]
             word = _plain(token)
             got = (word,) if word else ()
             if len(token) > 2 and _SUSPECT.search(token):
-                for part in (token[i : i + LONGEST] for i in range(0, len(token), LONGEST)) if len(token) > LONGEST else (token,):
-                    body = _STRIP.sub("", part)
+                body = _STRIP.sub("", token)
+                if len(token) > LONGEST:
+                    got += tuple({x for line in {body, _plain(body)} for x in windows(line, model)})
+                else:
                     got += (decode(body, model), decode(_plain(body), model))
             if len(cache) > CACHE:
                 cache.clear()
@@ -160,16 +162,21 @@ def restored(text: str, model: CharacterModel, cache: dict[str, tuple[str, ...]]
 
 
 def spaced(tokens: list[str], model: CharacterModel):
-    """Words hidden in runs of three or more one-character tokens; each run is cut into overlapping windows."""
+    """Words hidden in runs of three or more one-character tokens; each run is cut into overlapping windows, as long tokens are."""
     short = np.fromiter(map(len, tokens), np.int64, len(tokens)) <= 1
     edge = np.flatnonzero(np.diff(np.concatenate(([0], short, [0])).astype(np.int8)))
     for a, b in zip(edge[::2], edge[1::2], strict=True):
         if b - a >= 3:
-            line = re.sub(r"(.)\1{2,}", r"\1\1", "".join(tokens[a:b]), flags=re.DOTALL)
-            for i in range(0, max(1, len(line) - LONGEST // 2), LONGEST // 2):
-                read = decode(line[i : i + LONGEST], model)
-                yield read
-                yield from (read[j:] for j in range(1, len(read) - 3))
+            yield from windows("".join(tokens[a:b]), model)
+
+
+def windows(line: str, model: CharacterModel):
+    """What overlapping windows of a long run read, and all that begins later in them."""
+    line = re.sub(r"(.)\1{2,}", r"\1\1", line, flags=re.DOTALL)
+    for i in range(0, max(1, len(line) - LONGEST // 2), LONGEST // 2):
+        read = decode(line[i : i + LONGEST], model)
+        yield read
+        yield from (read[j:] for j in range(1, len(read) - 3))
 
 
 def _features(words: set[str]) -> set[str]:
