@@ -279,6 +279,22 @@ def test_topk_like_brute_force(spark):
             assert [got[q, r + 1] for r in range(5)] == [(i, s[i]) for i in best]
 
 
+def test_topk_of_large_components(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for size in (1e5, 3e5, 1e6):  # sums of about 2**58, up to 2**62 and beyond the limits of a long
+        v = [[float(x) for x in row] for row in np.floor(rng.normal(size=(120, 12)) * size)] + [[1.0] * 12, [-size] * 12, [size] * 12]
+        df = spark.createDataFrame(list(enumerate(v)), "vec_id long, embedding array<double>").repartition(3)
+        w = [[int(x) * 1024 for x in row] for row in v]
+        score = lambda a, b: max(-(1 << 63), min((1 << 63) - 1, sum(x * y for x, y in zip(w[a], w[b], strict=True))))  # noqa: B023, E731
+        for k in (5, 122):
+            got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in topk.search(df, F.col("vec_id") % 20 == 0, k=k).collect()}
+            for q in range(0, 123, 20):
+                best = sorted((i for i in range(123) if i != q), key=lambda i: (-score(i, q), i))[:k]
+                assert [got[q, r + 1] for r in range(k)] == [(i, score(i, q)) for i in best]
+
+
 PAGES = [(1, "http://a/\r\nb", "x" * 1500), (2, "u", "x" * 1500), (3, None, "é" * 900), (4, "u", None), (5, "u", ""), (6, "u", "short"), (7, "u", "short"), (8, "u", "y" * 50_000), (None, "u", "x" * 1500), (9, "u", "é" * 900), (9, "u", "é" * 900)]
 
 

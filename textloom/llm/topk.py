@@ -61,11 +61,15 @@ def _matrix(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def _products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Exact inner products of whole numbers, as 64-bit integers."""
+    """Exact inner products of whole numbers, as 64-bit integers or, where those may not hold them, as Python's."""
     if np.abs(x).max(initial=0) * np.abs(q).max(initial=0) * x.shape[1] < 2.0**53:
         return (x @ q.T).astype(np.int64)
     exact = np.vectorize(int, otypes=[object])
-    return np.clip(exact(x).dot(exact(q).T), _LOW // 64, _HIGH // 64).astype(np.int64)
+    return exact(x).dot(exact(q).T)
+
+
+def _saturated(total: np.ndarray) -> np.ndarray:
+    return np.clip(total, _LOW, _HIGH).astype(np.int64) if total.dtype == object else total
 
 
 def _slices(d: int, n: int) -> list[slice]:
@@ -94,7 +98,7 @@ def _local_lists(block, k: int, n_slices: int):
                     continue
                 q_ids, q = block.value[x.shape[1]]
                 parts = [_products(x[:, s], q[:, s]) for s in _slices(x.shape[1], n_slices)]
-                total, own = sum(parts), ids[rows]
+                total, own = _saturated(sum(parts)), ids[rows]
                 for j, part in enumerate(parts):
                     for c in range(len(q_ids)):
                         other = own != q_ids[c]
@@ -105,7 +109,7 @@ def _local_lists(block, k: int, n_slices: int):
                         old = best.get((int(q_ids[c]), j))
                         entries = [*zip(score[top].tolist(), who[top].tolist(), t[top].tolist(), strict=True), *(old[0] if old else [])]
                         entries.sort(key=lambda e: (-e[0], e[1]))
-                        best[int(q_ids[c]), j] = [entries[:k], min(int(score.min()), old[1] if old else _HIGH)]
+                        best[int(q_ids[c]), j] = [entries[:k], max(_LOW, min(int(score.min()), old[1] if old else _HIGH))]
         out = [(q, j, e[1], e[2], low) for (q, j), (entries, low) in best.items() for e in entries]
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["q", "slice", "id", "total", "low"])
@@ -130,23 +134,24 @@ def _resolve(block, cutoffs, k: int, n_slices: int):
                     least, lows = cutoffs.value.get(q_id, (None, None))
                     if lows is None:
                         continue
-                    shifted = np.stack([part[:, c] - lows[j] for j, part in enumerate(parts)])
-                    if least is None:
+                    wide = any(part.dtype == object for part in parts) or max(map(abs, (least or 0, *lows))) >= 2**57
+                    shifted = np.stack([(part[:, c].astype(object) if wide else part[:, c]) - lows[j] for j, part in enumerate(parts)])
+                    if least is None or least == _LOW:  # totals below the limit of a long count as that limit
                         chosen = np.flatnonzero(own != q_id)
                     else:
                         level = -(-(least - sum(lows)) // len(cuts))  # the uniform threshold, rounded up
                         known = shifted >= level
                         most = np.where(known, shifted, level).sum(0)
                         chosen = np.flatnonzero(known.any(0) & (most >= least - sum(lows)) & (own != q_id))
-                    total = shifted[:, chosen].sum(0) + sum(lows)
+                    total = _saturated(shifted[:, chosen].sum(0) + sum(lows))
                     if least is not None:
                         chosen, total = chosen[total >= least], total[total >= least]
                     if len(chosen) > k:
-                        keep = np.lexsort((own[chosen], -total))[:k]
+                        keep = np.lexsort((own[chosen], ~total))[:k]
                         chosen, total = chosen[keep], total[keep]
                     if len(chosen):
-                        best[q_id] = sorted([*best.get(q_id, []), *zip((-total).tolist(), own[chosen].tolist(), strict=True)])[:k]
-        out = [(q, i, -t) for q, entries in best.items() for t, i in entries]
+                        best[q_id] = sorted([*best.get(q_id, []), *zip((~total).tolist(), own[chosen].tolist(), strict=True)])[:k]
+        out = [(q, i, ~t) for q, entries in best.items() for t, i in entries]
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["q", "id", "total"])
 
