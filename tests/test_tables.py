@@ -142,6 +142,13 @@ def test_predicates_reach_the_reader(spark):
     assert "StringContains(text,tion)" in plan
 
 
+def test_open_slice_covers_the_table(spark):
+    medium = "/root/testdata/sf0.01"
+    n = spark.read.parquet(f"{medium}/documents.parquet").count()
+    got = {r.place: r.doc_id for r in catalogue.queries()["slice_rows_open"](spark, medium).collect()}
+    assert n > 500 and got == dict(enumerate(range(10, n, 7)))
+
+
 def test_catalogue_matches_sql(spark):
     con = duckdb.connect()
     for t in "region nation customer supplier part orders documents pages benchmark conversations".split():

@@ -235,6 +235,11 @@ def slice_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collection.rows(_table(spark, sf_dir, "documents").select("doc_id"), 10, 500, 7, idx="doc_id")
 
 
+@query("SELECT doc_id, (doc_id - 10) // 7 AS place FROM documents WHERE doc_id >= 10 AND (doc_id - 10) % 7 = 0")
+def slice_rows_open(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collection.rows(_table(spark, sf_dir, "documents").select("doc_id"), 10, None, 7, idx="doc_id")
+
+
 @query()
 def sample_n(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collection.sample(_table(spark, sf_dir, "documents").select("doc_id", "lang"), 300, 42, idx="doc_id")
