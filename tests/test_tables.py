@@ -149,6 +149,14 @@ def test_open_slice_covers_the_table(spark):
     assert n > 500 and got == dict(enumerate(range(10, n, 7)))
 
 
+def test_every_part_has_a_scored_name(spark):
+    parts = {r.p_partkey: r.p_name for r in spark.read.parquet(f"{DATA}/part.parquet").collect()}
+    least = {}
+    for k, name in sorted(parts.items()):
+        least.setdefault(name, k)
+    assert {r.p_partkey: r.idx for r in catalogue.queries()["part_names"](spark, DATA).collect()} == {k: least[name] for k, name in parts.items()}
+
+
 def test_catalogue_matches_sql(spark):
     con = duckdb.connect()
     for t in "region nation customer supplier part orders documents pages benchmark conversations".split():

@@ -1,6 +1,7 @@
 """Named queries over the standard tables, one or more for each operator, with equivalent SQL where SQL has one.
 
 Arrays are shown joined, so both sides compare plain values. Every query runs over its whole tables.
+Pair scores of parts are between distinct names, each under its smallest key; ``part_names`` says which part has which.
 """
 
 from __future__ import annotations
@@ -319,6 +320,12 @@ def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "part").groupBy(F.col("p_name").alias("s")).agg(F.min("p_partkey").alias("idx"))
 
 
+@query("SELECT p_partkey, min(p_partkey) OVER (PARTITION BY p_name) AS idx FROM part")
+def part_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = _table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("s"))
+    return parts.join(_names(spark, sf_dir), "s").select("p_partkey", "idx")
+
+
 _PAIRS = "WITH p AS (SELECT p_name AS s, min(p_partkey) AS idx FROM part GROUP BY 1) SELECT a.idx AS qi, b.idx AS ci, {} AS score FROM p a, p b"
 
 
