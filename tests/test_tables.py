@@ -157,6 +157,15 @@ def test_every_part_has_a_scored_name(spark):
     assert {r.p_partkey: r.idx for r in catalogue.queries()["part_names"](spark, DATA).collect()} == {k: least[name] for k, name in parts.items()}
 
 
+def test_fingerprints_of_different_texts(spark):
+    from textloom.functions.kernels import dimensions, fingerprint
+
+    dims = dimensions(32, None, 0)
+    own = {r.item_id: list(fingerprint(r.text.encode(), dims)[0]) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()}
+    got = {r.item_id: r.same for r in catalogue.queries()["fingerprint_pairs"](spark, DATA).collect()}
+    assert got == {i: sum(a == b for a, b in zip(h, own[i + 1], strict=True)) / 32 for i, h in own.items() if i + 1 in own} and min(got.values()) < 1
+
+
 def test_catalogue_matches_sql(spark):
     con = duckdb.connect()
     for t in "region nation customer supplier part orders documents pages benchmark conversations".split():

@@ -379,6 +379,13 @@ def fingerprint_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.select("item_id", fingerprints.similarity(F.col("a.hashes"), F.col("b.hashes")).alias("same"))
 
 
+@query()
+def fingerprint_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = _table(spark, sf_dir, "benchmark").select("item_id", fingerprints.fingerprints("text", 32).alias("f")).select("item_id", F.col("f.hashes").alias("a"))
+    after = items.select((F.col("item_id") - 1).alias("item_id"), F.col("a").alias("b"))
+    return items.join(after, "item_id").select("item_id", fingerprints.similarity(F.col("a"), F.col("b")).alias("same"))
+
+
 @query()
 def merge_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations").select("conv_id", fingerprints.fingerprints("text", 16).alias("f")).select("conv_id", "f.hashes", "f.counts")
