@@ -22,6 +22,8 @@ import pyarrow.compute
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
+from .workers import mapped
+
 #: Texts beyond so many characters are cut, into parts of about PART characters; parts beyond LONG are matched one by one.
 WHOLE, PART, LONG = 100_000, 32_000, 200_000
 
@@ -112,7 +114,7 @@ def encode(df: DataFrame, text: str = "text", ids: str = "ids", ranks_path: str
             column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
             yield pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, ids])
 
-    return df.mapInArrow(run, schema)
+    return mapped(df, run, schema)
 
 
 def decode(df: DataFrame, ids: str = "ids", raw: str = "raw", ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -128,7 +130,7 @@ def decode(df: DataFrame, ids: str = "ids", raw: str = "raw", ranks_path: str |
             out = [own.decode(x.values.to_numpy() if x.is_valid else np.zeros(0, np.uint32)) for x in batch.column(place)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, raw])
 
-    return df.mapInArrow(run, schema)
+    return mapped(df, run, schema)
 
 
 def encode_and_check(df: DataFrame, keep: list[str], text: str = "text", ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -147,7 +149,7 @@ def encode_and_check(df: DataFrame, keep: list[str], text: str = "text", ranks_p
             decoded = [hashlib.sha256(own.decode(x)).hexdigest() for x in found]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(count), ids, pa.array(decoded, pa.string())], names=[*keep, "n_tokens", "ids", "decoded_sha256"])
 
-    return rows.mapInArrow(run, schema)
+    return mapped(rows, run, schema)
 
 
 def digests(df: DataFrame, key: str = "doc_id", text: str = "text", ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -166,7 +168,7 @@ def digests(df: DataFrame, key: str = "doc_id", text: str = "text", ranks_path:
                 decoded.append(hashlib.sha256(own.decode(found)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(encoded, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return mapped(rows, run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op8_bpe(spark, sf_dir: str) -> DataFrame:

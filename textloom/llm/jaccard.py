@@ -39,6 +39,7 @@ from pyspark.sql.window import Window
 from . import scratch
 from .components import components
 from .textbatch import Chunk, chunks, mix
+from .workers import mapped
 
 COUNTERS = 1 << 22
 #: Counters that travel together.
@@ -92,7 +93,7 @@ def scan(rows: DataFrame, k: int) -> DataFrame:
 
         def count():
             if held:
-                counts.__iadd__(np.bincount(np.concatenate(held), minlength=COUNTERS).astype(np.uint32))
+                np.add(counts, np.bincount(np.concatenate(held), minlength=COUNTERS), out=counts, casting="unsafe")
                 held.clear()
 
         for batch in batches:
@@ -101,7 +102,7 @@ def scan(rows: DataFrame, k: int) -> DataFrame:
                 n, h1, h2 = _digests(value, owner, c.n)
                 held.append((value & np.uint64(COUNTERS - 1)).astype(np.int32))
                 size += len(value)
-                if size > 2_000_000:
+                if size > 1_000_000:
                     count()
                     size = 0
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.first, c.n), pa.array(n), pa.array(h1), pa.array(h2), pa.nulls(c.n, pa.int32()), pa.nulls(c.n, pa.binary())], names=names)
@@ -111,7 +112,7 @@ def scan(rows: DataFrame, k: int) -> DataFrame:
             none = pa.nulls(len(cells), pa.int64())
             yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array([i // CELL for i in cells], pa.int32()), pa.array([np.minimum(counts[i : i + CELL], 65535).astype(np.uint16).tobytes() for i in cells], pa.binary())], names=names)
 
-    return rows.mapInArrow(run, "doc long, n long, h1 long, h2 long, cell int, counts binary")
+    return mapped(rows, run, "doc long, n long, h1 long, h2 long, cell int, counts binary")
 
 
 def _counted(cells: DataFrame) -> np.ndarray:
@@ -126,7 +127,7 @@ def _counted(cells: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([cell], pa.int32()), pa.array([counts.tobytes()], pa.binary())], names=["cell", "counts"])
 
     n = min(64, int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    found = cells.select("cell", "counts").repartition(n, "cell").mapInArrow(run, "cell int, counts binary").toArrow()
+    found = mapped(cells.select("cell", "counts").repartition(n, "cell"), run, "cell int, counts binary").toArrow()
     out = np.zeros(COUNTERS)
     for cell, counts in zip(found["cell"].to_pylist(), found["counts"].to_pylist(), strict=True):
         out[cell * CELL : (cell + 1) * CELL] = np.frombuffer(counts, np.uint64)
@@ -138,10 +139,20 @@ def _prefix_length(n: np.ndarray, threshold: Fraction) -> np.ndarray:
 
 
 def _passes(ids: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    bit = mix(ids.astype(np.int64).view(np.uint64)) & np.uint64(FILTER - 1)
+    bit = mix(ids.astype(np.int64).view(np.uint64)) & np.uint64(64 * len(bits) - 1)
     return ((bits[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1)).astype(bool)
 
 
+def _parts(hot: tuple[np.ndarray, np.ndarray], bucket: np.ndarray) -> np.ndarray:
+    """In how many parts the regions of these counters are read. hot: the counters with more than one, and their numbers."""
+    out = np.ones(len(bucket), np.uint64)
+    if len(hot[0]):
+        at = np.minimum(np.searchsorted(hot[0], bucket), len(hot[0]) - 1)
+        found = hot[0][at] == bucket
+        out[found] = hot[1][at[found]]
+    return out
+
+
 def prefixes(rows: DataFrame, k: int, threshold: Fraction, levels, parts, wanted) -> DataFrame:
     """token, part, doc, n, pos for the prefix of every set that the filter lets through, in the global order (level of the
     token's counter, token). part: 0, or for tokens that seem hot one of several."""
@@ -161,10 +172,10 @@ def prefixes(rows: DataFrame, k: int, threshold: Fraction, levels, parts, wanted
                 pos = np.arange(len(value)) - np.repeat(np.cumsum(size) - size, size)
                 head = pos < _prefix_length(size, threshold)[owner]
                 doc = ids[c.first + owner[head]]
-                part = (mix(doc.astype(np.int64).view(np.uint64)) % parts.value[bucket[head]].astype(np.uint64)).astype(np.int32)
+                part = (mix(doc.astype(np.int64).view(np.uint64)) % _parts(parts.value, bucket[head])).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(value[head].view(np.int64)), pa.array(part), pa.array(doc), pa.array(size[owner[head]].astype(np.int32)), pa.array(pos[head].astype(np.int32))], names=["token", "part", "doc", "n", "pos"])
 
-    return rows.mapInArrow(run, "token long, part int, doc long, n int, pos int")
+    return mapped(rows, run, "token long, part int, doc long, n int, pos int")
 
 
 def regions(posted: DataFrame, parts) -> DataFrame:
@@ -187,7 +198,7 @@ def regions(posted: DataFrame, parts) -> DataFrame:
             start = np.maximum.accumulate(np.where(new, np.arange(len(token)), -1))
             lead = [np.where(start >= 0, x[start], last[i] if last else 0) for i, x in ((2, doc), (3, n), (4, pos))]
             alone = new & np.append(new[1:], False)  # the batch's last row is settled by the next batch
-            split = parts.value[(token.view(np.uint64) & np.uint64(COUNTERS - 1)).astype(np.int64)] > 1
+            split = _parts(parts.value, (token.view(np.uint64) & np.uint64(COUNTERS - 1)).astype(np.int64)) > 1
             keep = ~alone | split
             if len(token) and new[-1] and not split[-1]:
                 keep[-1] = False
@@ -200,7 +211,7 @@ def regions(posted: DataFrame, parts) -> DataFrame:
                     last = (int(token[i]), int(part[i]), int(doc[i]), int(n[i]), int(pos[i]))
             yield pa.RecordBatch.from_arrays([pa.array(x[keep], t) for x, t in zip((token, doc, n, pos, *lead, split), kinds, strict=True)], names=names)
 
-    return posted.mapInArrow(run, "token long, doc long, n int, pos int, ldoc long, ln int, lpos int, split boolean")
+    return mapped(posted, run, "token long, doc long, n int, pos int, ldoc long, ln int, lpos int, split boolean")
 
 
 def sets(rows: DataFrame, k: int, wanted) -> DataFrame:
@@ -214,22 +225,22 @@ def sets(rows: DataFrame, k: int, wanted) -> DataFrame:
                 at = np.searchsorted(owner, np.arange(c.n + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.first, c.n), pa.ListArray.from_arrays(pa.array(at), pa.array(value.view(np.int64)))], names=["doc", "members"])
 
-    return rows.mapInArrow(run, "doc long, members array<long>")
+    return mapped(rows, run, "doc long, members array<long>")
 
 
-def _only(members: DataFrame, ids: DataFrame) -> DataFrame:
-    """The sets whose ids the filter of ids lets through, so that only they are shuffled."""
-    wanted = members.sparkSession.sparkContext.broadcast(_id_filter(ids))
+def _only(members: DataFrame, wanted) -> DataFrame:
+    """The sets whose ids the filter lets through, so that only they are shuffled."""
 
     def run(batches):
         for batch in batches:
             yield batch.filter(pa.array(_passes(batch.column(0).to_numpy(), wanted.value)))
 
-    return members.mapInArrow(run, members.schema)
+    return mapped(members, run, members.schema)
 
 
 def _id_filter(ids: DataFrame) -> np.ndarray:
-    """The filter's bits for a table of ids; 2**20 numbers at most reach the driver, whatever the number of ids."""
+    """The filter's bits for a table of ids; 2**20 numbers at most reach the driver, whatever the number of ids. Few ids take a
+    small filter."""
 
     def run(batches):
         bits = np.zeros(FILTER >> 6, np.uint64)
@@ -239,9 +250,11 @@ def _id_filter(ids: DataFrame) -> np.ndarray:
         at = np.flatnonzero(bits)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(bits[at].view(np.int64))], names=["word", "bits"])
 
-    found = ids.mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    found = mapped(ids, run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     out = np.zeros(FILTER >> 6, np.uint64)
     out[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
+    while len(out) > 1024 and int(np.bitwise_count(out).sum()) < len(out):  # a 64th of the bits
+        out = out[: len(out) // 2] | out[len(out) // 2 :]
     return out
 
 
@@ -254,12 +267,16 @@ def _possible(threshold: Fraction, n1, n2, pos1, pos2):
 
 
 def measure(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """x, p, shared, together: the sizes of intersection and union for pairs of sets."""
-    left = _only(members, pairs.select("p")).select(F.col("doc").alias("p"), F.col("members").alias("mp"))
-    right = _only(members, pairs.select("x")).select(F.col("doc").alias("x"), F.col("members").alias("mx"))
+    """x, p, shared, together: the sizes of intersection and union for pairs of sets, as a scratch table."""
+    context = pairs.sparkSession.sparkContext
+    ps, xs = (context.broadcast(_id_filter(pairs.select(c))) for c in ("p", "x"))
+    left = _only(members, ps).select(F.col("doc").alias("p"), F.col("members").alias("mp"))
+    right = _only(members, xs).select(F.col("doc").alias("x"), F.col("members").alias("mx"))
     both = pairs.select("x", "p").join(left, "p").join(right, "x")
     shared = F.size(F.array_intersect("mx", "mp")).cast("long")
-    return both.select("x", "p", shared.alias("shared"), (F.size("mx") + F.size("mp") - shared).cast("long").alias("together"))
+    out = scratch.table(both.select("x", "p", shared.alias("shared"), (F.size("mx") + F.size("mp") - shared).cast("long").alias("together")), "known")
+    scratch.release(ps, xs)
+    return out
 
 
 def _pair(x: str, p: str) -> list:
@@ -270,12 +287,14 @@ def _regions(spark, rows: DataFrame, classes: DataFrame, k: int, threshold: Frac
     """The regions, and the scratch tables that they read."""
     levels = spark.sparkContext.broadcast(np.minimum(255, 8 * np.log2(1 + counts)).astype(np.uint8))
     # What a counter holds beyond twice the usual is taken for one hot token.
-    parts = np.maximum(1, np.ceil((counts - 2 * np.median(counts)) / PART)).astype(np.uint32)
-    parts = spark.sparkContext.broadcast(parts)
+    parts = np.maximum(1, np.ceil((counts - 2 * np.median(counts)) / PART)).astype(np.uint64)
+    hot = np.flatnonzero(parts > 1)
+    parts = spark.sparkContext.broadcast((hot, parts[hot]))
     wanted = spark.sparkContext.broadcast(_id_filter(classes.select("class")))
     posted = prefixes(rows, k, threshold, levels, parts, wanted)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = scratch.table(regions(posted.repartition(n, "token", "part").sortWithinPartitions("token", "part", "pos", "doc"), parts), "regions")
+    scratch.release(levels, parts, wanted)
     apart = found.where("split").drop("split")
     if apart.isEmpty():
         return found.drop("split"), [found]
@@ -292,6 +311,7 @@ def _link(spark, rows: DataFrame, found: DataFrame, made: list[DataFrame], k: in
     eps = 1 - a / b + 1e-9
     wanted = spark.sparkContext.broadcast(_id_filter(found.select("doc")))
     members = scratch.table(sets(rows, k, wanted), "sets")
+    scratch.release(wanted)
     linked = lambda t: t.where(F.col("shared") * b >= F.col("together") * a).select(F.col("x").alias("a"), F.col("p").alias("b"))
 
     def absorb(links: DataFrame, labels: DataFrame) -> DataFrame:
@@ -309,15 +329,16 @@ def _link(spark, rows: DataFrame, found: DataFrame, made: list[DataFrame], k: in
     # A set is first compared with the pivot with which it shares most regions, then with those that are still apart from it.
     met = scratch.table(found.where((F.col("doc") != F.col("ldoc")) & _possible(threshold, F.col("n"), F.col("ln"), F.col("pos"), F.col("lpos"))).groupBy("doc", "ldoc").agg(F.count("*").alias("rows")), "met")
     best = scratch.table(met.groupBy("doc").agg(F.max_by("ldoc", F.struct("rows", -F.col("ldoc"))).alias("ldoc")).select(*_pair("doc", "ldoc")).distinct(), "pairs")
-    known = scratch.table(measure(best, members), "known")
+    known = measure(best, members)
     labels = components(linked(known).unionByName(extra))
     rest = scratch.table(apart(met.select(*_pair("doc", "ldoc")).distinct().join(known.select("x", "p"), ["x", "p"], "left_anti"), labels), "pairs")
     if not rest.isEmpty():
-        new = scratch.table(measure(rest, members), "known")
+        new = measure(rest, members)
         labels = absorb(linked(new), labels)
         old, known = known, scratch.table(known.unionByName(new), "known")
         scratch.release(old, new)
     scratch.release(met, best, rest)
+    scratch.sweep(spark)
     # A region's first pivot is linked with its members, apart from them, or in one component by now.
     left = scratch.table(found.where(F.col("doc") != F.col("ldoc")).select("token", "doc", "n", "pos", "ldoc"), "left")
     scratch.release(*made)
@@ -343,11 +364,12 @@ def _link(spark, rows: DataFrame, found: DataFrame, made: list[DataFrame], k: in
         window = F.coalesce(F.abs(F.col("d") - F.col("pd")) <= eps, F.lit(True))
         both = active.join(pivots, "token").where((F.col("part") != F.col("ppart")) & (F.col("doc") != F.col("pivot")) & window & _possible(threshold, F.col("n"), F.col("pn"), F.col("pos"), F.col("ppos")))
         pairs = scratch.table(both.select(*_pair("doc", "pivot")).distinct().join(known.select("x", "p"), ["x", "p"], "left_anti"), "pairs")
-        new = scratch.table(measure(pairs, members), "known")
+        new = measure(pairs, members)
         old, known = known, scratch.table(known.unionByName(new), "known")
         labels = absorb(linked(new), labels)
         left = scratch.table(active.join(pivots.select("token", F.col("pivot").alias("doc")), ["token", "doc"], "left_anti").select("token", "doc", "n", "pos", "ldoc"), "left")
         scratch.release(main, pivots, pairs, new, old, active)
+        scratch.sweep(spark)
 
 
 def join(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4, threshold: Fraction = Fraction(85, 100)) -> DataFrame:

@@ -19,6 +19,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
 from .textbatch import chunks
+from .workers import mapped
 
 BITS = 15
 _LOW = np.arange(256, dtype=np.uint8)
@@ -80,7 +81,7 @@ def count_trigrams(df: DataFrame, text: str = "text", lang: str = "lang") -> Dat
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], names=["lang", "bucket", "n"])
 
-    return rows.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    return mapped(rows, run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
 class Model:
@@ -163,7 +164,7 @@ def predict(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
                         flags.append(False)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(flags, pa.bool_())], names=[key, "lang_pred", "score", "ambiguous"])
 
-    return rows.mapInArrow(run, f"`{key}` {kind}, lang_pred string, score double, ambiguous boolean")
+    return mapped(rows, run, f"`{key}` {kind}, lang_pred string, score double, ambiguous boolean")
 
 
 def held_out(key: str = "doc_id", mod: int = 5, left: int = 0):

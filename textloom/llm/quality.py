@@ -26,6 +26,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
 from .textbatch import SPACES, chunks
+from .workers import mapped
 
 #: Words with at least this share of a language's words are common.
 PHI = 0.002
@@ -138,7 +139,7 @@ def _candidates(rows: DataFrame, phi: float) -> dict[str, list[bytes]]:
                     yield from report()
         yield from report()
 
-    counted = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).mapInArrow(run, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counted = mapped(rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull()), run, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     totals = counted.where(F.col("word").isNull()).select("lang", F.col("n").alias("total")).where(F.col("total") >= LEAST_REFERENCE)
     likely = counted.where(F.col("word").isNotNull()).join(totals, "lang").where(F.col("n") >= F.lit(phi / 2) * F.col("total"))
     out: dict[str, list[bytes]] = {}
@@ -192,7 +193,7 @@ def references(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(sums), pa.string()), pa.array(np.arange(len(sums)), pa.int32()), pa.array(sums)], names=["lang", "bin", "n"])
 
     found: dict[str, np.ndarray] = {}
-    for r in rows.where(F.col("lang").isNotNull()).mapInArrow(run, "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")).collect():
+    for r in mapped(rows.where(F.col("lang").isNotNull()), run, "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")).collect():
         found.setdefault(r.lang, np.zeros(len(CLASSES) + len(words[r.lang]) + 1, np.int64))[r.bin] = r.n
     refs = References(words, found, phi)
     for name, counts in _char_distances(rows, refs).items():
@@ -222,7 +223,7 @@ def _char_distances(rows: DataFrame, refs: References) -> dict[str, np.ndarray]:
 
     out: dict[str, np.ndarray] = {}
     if refs.langs:
-        for r in rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).mapInArrow(run, "lang string, step int, n long").groupBy("lang", "step").agg(F.sum("n").alias("n")).collect():
+        for r in mapped(rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull()), run, "lang string, step int, n long").groupBy("lang", "step").agg(F.sum("n").alias("n")).collect():
             out.setdefault(r.lang, np.zeros(STEPS, np.int64))[r.step] = r.n
     return out
 
@@ -273,7 +274,7 @@ def rules(df: DataFrame, refs: References, key: str = "doc_id", text: str = "tex
                 columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x.astype(np.int64)) for x in columns[:5]), pa.array(columns[5]), *(pa.array(x, pa.float64(), from_pandas=True) for x in columns[6:8]), pa.array(columns[8])], names=names)
 
-    return rows.mapInArrow(run, f"`{key}` {kind}, " + ", ".join(f"{x} long" for x in names[1:6]) + ", base_failed boolean, char_distance double, word_distance double, kept boolean")
+    return mapped(rows, run, f"`{key}` {kind}, " + ", ".join(f"{x} long" for x in names[1:6]) + ", base_failed boolean, char_distance double, word_distance double, kept boolean")
 
 
 def op3_quality(spark, sf_dir: str) -> DataFrame:

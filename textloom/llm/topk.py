@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.window import Window
 
 from . import scratch
+from .workers import mapped
 
 K, SLICES, BLOCK = 10, 4, 2048
 #: Rows that are multiplied with a block of queries at once.
@@ -165,13 +166,13 @@ def _block_top(rows: DataFrame, queries: DataFrame, k: int, n_slices: int) -> Da
     if not own:
         return None
     block = context.broadcast(_by_length([r.id for r in own], [r.v for r in own]))
-    lists = rows.mapInArrow(_local_lists(block, k, n_slices), "q long, slice int, id long, total long, low long")
+    lists = mapped(rows, _local_lists(block, k, n_slices), "q long, slice int, id long, total long, low long")
     lists = scratch.table(lists, "topk-lists")
     lows = lists.groupBy("q", "slice").agg(F.min("low").alias("low")).groupBy("q").agg(F.map_from_entries(F.collect_list(F.struct("slice", "low"))).alias("lows"))
     ranked = lists.select("q", "id", "total").distinct().withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("total"), "id"))).where(F.col("rank") == k).select("q", F.col("total").alias("least"))
     cutoffs = context.broadcast({r.q: (r.least, [r.lows[j] for j in sorted(r.lows)]) for r in lows.join(ranked, "q", "left").collect()})
     scratch.release(lists)
-    found = rows.mapInArrow(_resolve(block, cutoffs, k, n_slices), "q long, id long, total long")
+    found = mapped(rows, _resolve(block, cutoffs, k, n_slices), "q long, id long, total long")
     best = Window.partitionBy("q").orderBy(F.desc("total"), "id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(F.col("q").alias("query_id"), F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), F.col("total").alias("score"))
 

@@ -31,6 +31,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
 from . import scratch
+from .workers import mapped
 
 #: Magic numbers of the Zstandard and WARC-Zstandard formats.
 FRAME_MAGIC, DICTIONARY_MAGIC = 0xFD2FB528, 0xEC30A437
@@ -136,7 +137,7 @@ def write(planned: DataFrame, dictionary: bytes, archive_bytes: int = ARCHIVE_BY
         if held:
             yield archive()
 
-    return rows.mapInArrow(run, "path string, content binary")
+    return mapped(rows, run, "path string, content binary")
 
 
 # Reading
@@ -293,7 +294,7 @@ def read(archives: DataFrame, payloads: bool = True) -> DataFrame:
                 if held:
                     yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*held, strict=True), kinds, strict=True)], names=names)
 
-    return rows.mapInArrow(run, schema)
+    return mapped(rows, run, schema)
 
 
 def op1_warc(spark, sf_dir: str) -> DataFrame:
