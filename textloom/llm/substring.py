@@ -12,8 +12,8 @@ the automaton of all earlier text give, at each word, the longest match that end
 the window is removed. Then the run joins the automaton. So a shard is sent to one task once, with just the text that can match it, instead of to all
 tasks: broadcast to all, shards times documents would be scanned.
 
-Anchors with very many different runs (a short common passage in many surroundings) are cut further: their windows are dealt
-out by the hash of all W words, so a hot anchor is no hot shard.
+Anchors with very many different runs (a short common passage in many surroundings) would make a hot shard. Their runs are cut
+into windows of W words, and of equal windows all but the earliest are removed, by one aggregation and one join.
 
 Defined cases: words are of ``[^\\x20\\x09-\\x0D]``, unchanged; null, empty and short texts lose nothing; a null id sorts before all
 others; rows with equal id and equal text are one document, rows with equal id and other text are ordered by the
@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 
 from . import scratch
 from .textbatch import Chunk, chunks, mix
+from .workers import mapped
 
 W, ANCHOR = 20, 8
 #: Bits of the filter of repeated anchors; 8 MB.
@@ -70,10 +71,21 @@ def _repeated(rows: DataFrame, w: int, k: int) -> np.ndarray:
     """The filter of anchors that occur twice or more."""
 
     def run(batches):
+        held, size = [], 0
+
+        def count():
+            h, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_counts=True)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
+
         for batch in batches:
-            for c in chunks(batch.column(0), 1 << 23):
-                h, n = np.unique(anchors(c, w, k)[2], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
+            for c in chunks(batch.column(0)):
+                held.append(anchors(c, w, k)[2])
+                size += len(held[-1])
+                if size > 1_000_000:
+                    yield count()
+                    size = 0
+        yield count()
 
     def bits(batches):
         out = np.zeros(FILTER >> 6, np.uint64)
@@ -83,8 +95,8 @@ def _repeated(rows: DataFrame, w: int, k: int) -> np.ndarray:
         at = np.flatnonzero(out)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(out[at].view(np.int64))], names=["word", "bits"])
 
-    counted = rows.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
-    found = counted.mapInArrow(bits, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()  # 2**20 rows at most
+    counted = mapped(rows.select("text"), run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
+    found = mapped(counted, bits, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()  # 2**20 rows at most
     out = np.zeros(FILTER >> 6, np.uint64)
     out[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
     return out
@@ -109,7 +121,7 @@ def _occurrences(rows: DataFrame, w: int, k: int, wanted) -> DataFrame:
                 rh = [int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "big", signed=True) for x in words]
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(rh, pa.int64()), pa.array(ids[c.first + doc]), pa.array(hashes[c.first + doc]), pa.array((starts - c.first_word[doc]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(words, pa.binary())], names=["h", "rh", "doc", "th", "pos", "n", "words"])
 
-    return rows.select("doc", "th", "text").mapInArrow(run, "h long, rh long, doc long, th long, pos int, n int, words binary")
+    return mapped(rows.select("doc", "th", "text"), run, "h long, rh long, doc long, th long, pos int, n int, words binary")
 
 
 class Automaton:
@@ -211,16 +223,23 @@ def _shard_kernel(w: int):
 
 
 def _windows(batches, w: int):
-    """Runs of hot anchors, cut into windows that are routed by their own words."""
+    """Runs of hot anchors, cut into windows: the digest of each window's words (16 bytes), and its place."""
+    kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int32())
     for batch in batches:
         out = []
-        for route, doc, th, pos, words in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+        for doc, th, pos, words in zip(*(x.to_pylist() for x in batch.columns), strict=True):
             parts = words.split(b" ")
-            for i in range(len(parts) - w + 1):
-                x = b" ".join(parts[i : i + w])
-                out.append((int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "big", signed=True), doc, th, pos + i, x))
+            out += [(hashlib.blake2b(b" ".join(parts[i : i + w]), digest_size=16).digest(), doc, th, pos + i) for i in range(len(parts) - w + 1)]
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["route", "doc", "th", "pos", "words"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["window", "doc", "th", "pos"])
+
+
+def _later(cut: DataFrame, w: int) -> DataFrame:
+    """The spans of all windows but the earliest of each digest. Equal windows meet in an aggregation that is combined before
+    the shuffle, and in a join whose hot keys can be split, so a passage that very many texts share makes no large group."""
+    place = F.struct("doc", "th", "pos")
+    first = scratch.table(cut.groupBy("window").agg(F.min(place).alias("first"), F.max(place).alias("last")).where(F.col("first") != F.col("last")).select("window", "first"), "first-windows")
+    return cut.join(first, "window").where(place != F.col("first")).select("doc", "th", F.col("pos").alias("a"), (F.col("pos") + w).cast("int").alias("b"))
 
 
 def spans(rows: DataFrame, w: int = W, k: int = ANCHOR) -> DataFrame:
@@ -228,20 +247,25 @@ def spans(rows: DataFrame, w: int = W, k: int = ANCHOR) -> DataFrame:
     spark = rows.sparkSession
     wanted = spark.sparkContext.broadcast(_repeated(rows, w, k))
     found = scratch.table(_occurrences(rows, w, k, wanted), "occurrences")
+    scratch.release(wanted)
     owners = scratch.table(found.groupBy("h", "rh").agg(F.min(F.struct("doc", "th", "pos")).alias("o")).select("h", "rh", F.col("o.doc").alias("od"), F.col("o.th").alias("ot"), F.col("o.pos").alias("op")), "owners")
     own = (F.col("doc") == F.col("od")) & (F.col("th") == F.col("ot")) & (F.col("pos") == F.col("op"))
-    copies = found.select("h", "rh", "doc", "th", "pos", "n").join(owners, ["h", "rh"]).where(~own).select("doc", "th", F.col("pos").alias("a"), (F.col("pos") + F.col("n") + (w - 1)).cast("int").alias("b"))
+    # Rows that are one document (equal id and text) have the same runs; one is enough.
+    copies = found.select("h", "rh", "doc", "th", "pos", "n").join(owners, ["h", "rh"]).where(~own).select("doc", "th", F.col("pos").alias("a"), (F.col("pos") + F.col("n") + (w - 1)).cast("int").alias("b")).distinct()
     firsts = found.join(owners.select("h", F.col("od").alias("doc"), F.col("ot").alias("th"), F.col("op").alias("pos")), ["h", "doc", "th", "pos"], "left_semi")
     firsts = scratch.table(firsts.dropDuplicates(["h", "doc", "th", "pos"]).select(F.col("h").alias("route"), "doc", "th", "pos", "words"), "runs")
     per = firsts.groupBy("route").agg(F.count("*").alias("runs"))
     shards = max(64, -(-firsts.count() // SHARD))
     hot = scratch.table(per.where(F.col("runs") > HOT).select("route"), "hot-anchors")
-    usual = firsts.join(hot, "route", "left_anti")
-    cut = firsts.join(hot, "route").select("route", "doc", "th", "pos", "words").mapInArrow(lambda b: _windows(b, w), "route long, doc long, th long, pos int, words binary")
-    dealt = usual.unionByName(cut).withColumn("shard", F.pmod(F.xxhash64("route"), F.lit(shards)))
+    dealt = firsts.join(hot, "route", "left_anti").withColumn("shard", F.pmod(F.xxhash64("route"), F.lit(shards)))
     matched = dealt.select("shard", "doc", "th", "pos", "words").groupBy("shard").applyInArrow(_shard_kernel(w), "doc long, th long, a int, b int")
+    made = [found, owners, firsts, hot]
+    if not hot.isEmpty():
+        cut = scratch.table(mapped(firsts.join(hot, "route").select("doc", "th", "pos", "words"), lambda b: _windows(b, w), "window binary, doc long, th long, pos int"), "windows")
+        matched = matched.unionByName(_later(cut, w))
+        made.append(cut)
     out = scratch.table(matched.unionByName(copies).groupBy("doc", "th").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "spans")
-    scratch.release(found, owners, firsts, hot)
+    scratch.release(*made)
     return out
 
 
@@ -286,7 +310,7 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", w: int = W, k:
                     left.append(b"".join([*parts, body[back:]]).decode("utf-8", "replace"))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest, pa.string()), pa.array(left, pa.string()), *batch.columns[4:]], names=[key, "n_words", "n_removed", "kept_sha256", "kept_text", *keep])
 
-    return joined.mapInArrow(run, schema)
+    return mapped(joined, run, schema)
 
 
 def op5_substring(spark, sf_dir: str) -> DataFrame:
