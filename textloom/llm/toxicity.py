@@ -27,7 +27,9 @@ import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
+from . import scratch
 from .textbatch import chunks
+from .workers import mapped
 
 TRAIN_ROWS = 12_000
 THRESHOLD = 0.7
@@ -35,7 +37,6 @@ THRESHOLD = 0.7
 BEGINNINGS = (4, 5, 6, 7, 8)
 #: A feature needs at least this share of toxic documents, after smoothing, and so many of them.
 PRECISION, LEAST_DOCS = 0.9, 3
-MOST_FEATURES = 20_000
 #: Longest word and longest spaced run that is decoded in one piece.
 LONGEST = 48
 
@@ -71,13 +72,14 @@ def count_characters(df: DataFrame, text: str = "text") -> DataFrame:
         total = np.zeros(SIZE**3, np.int64)
         for batch in batches:
             for c in chunks(batch.column(0)):
-                code = np.concatenate([[0], _CODE[c.raw], [0]]).astype(np.int32)
+                # As in decoding, a letter beyond ASCII is one symbol, whatever its bytes.
+                code = np.concatenate([[0], _CODE[c.raw[(c.raw & 0xC0) != 0x80]], [0]]).astype(np.int32)
                 if len(code) > 2:
                     total += np.bincount(code[:-2] * SIZE * SIZE + code[1:-1] * SIZE + code[2:], minlength=SIZE**3)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], names=["bucket", "n"])
 
-    return df.select(F.col(text).alias("text")).where(F.col("text").isNotNull()).mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    return mapped(df.select(F.col(text).alias("text")).where(F.col("text").isNotNull()), run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
 
 
 class CharacterModel:
@@ -235,7 +237,7 @@ def fit(labels: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "te
     # At most `rows` ids and labels are broadcast, so the texts stay where they are until the few that are needed are known.
     labelled = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(chosen), "key")
     # Copies and most near copies count once, lest the other words of a toxic text that has copies look toxic too.
-    sample = labelled.where(F.col("text").isNotNull()).select("key", "text", "label").mapInArrow(_signatures, "signature long, text string, label int").groupBy("signature").agg(F.max(F.struct("label", "text")).alias("x")).select("x.text", "x.label")
+    sample = mapped(labelled.where(F.col("text").isNotNull()).select("key", "text", "label"), _signatures, "signature long, text string, label int").groupBy("signature").agg(F.max(F.struct("label", "text")).alias("x")).select("x.text", "x.label")
 
     def run(batches):
         cache: dict = {}
@@ -254,16 +256,22 @@ def fit(labels: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "te
         yield pa.RecordBatch.from_arrays([pa.array([""]), pa.array([n[1]], pa.int64()), pa.array([n[0]], pa.int64())], names=["feature", "bad", "good"])
 
     spread = sample.repartition(24, F.xxhash64("text"))
-    seen = spread.mapInArrow(run, "feature string, bad long, good long").groupBy("feature").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).where(F.col("bad") >= LEAST_DOCS)
+    seen = mapped(spread, run, "feature string, bad long, good long").groupBy("feature").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).where(F.col("bad") >= LEAST_DOCS)
+    seen = scratch.table(seen, "features")
+    scratch.release(shared)
     total = seen.where(F.col("feature") == "").collect()
     if not total or not total[0].bad:
+        scratch.release(seen)
         return WordModel({}, characters)
     base = total[0].bad / (total[0].bad + total[0].good)
     p = (F.col("bad") + F.lit(base)) / (F.col("bad") + F.col("good") + 1.0)
-    picked = seen.where((F.col("feature") != "") & (p >= PRECISION)).orderBy(F.desc("bad"), "feature").limit(MOST_FEATURES).select("feature", "bad", "good", p.alias("p")).collect()
+    likely = seen.where((F.col("feature") != "") & (p >= PRECISION)).select("feature", "bad", p.alias("p"))
     # Chance finds: among so many features, one that only chance brought into toxic documents may reach this evidence.
-    evidence = math.log(max(10.0, 3.0 * len(picked))) + 2.0
-    return WordModel({r.feature: min(r.p, 0.995) for r in picked if r.bad * math.log(r.p / base) >= evidence}, characters)
+    evidence = math.log(max(10.0, 3.0 * likely.count())) + 2.0
+    # At most as many features as the words of `rows` documents give.
+    picked = likely.where(F.col("bad") * F.log(F.col("p") / base) >= evidence).collect()
+    scratch.release(seen)
+    return WordModel({r.feature: min(r.p, 0.995) for r in picked}, characters)
 
 
 def score(df: DataFrame, model: WordModel, key: str = "doc_id", text: str = "text", column: str = "score") -> DataFrame:
@@ -278,7 +286,7 @@ def score(df: DataFrame, model: WordModel, key: str = "doc_id", text: str = "tex
             found = [shared.value.score(x.as_py(), cache) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64())], names=[key, column])
 
-    return rows.mapInArrow(run, f"`{key}` {kind}, `{column}` double")
+    return mapped(rows, run, f"`{key}` {kind}, `{column}` double")
 
 
 def reject(df: DataFrame, model: WordModel, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -291,7 +299,7 @@ def reject(df: DataFrame, model: WordModel, text: str = "text", threshold: float
         for batch in batches:
             yield batch.filter(pa.array([shared.value.score(x.as_py(), cache) < threshold for x in batch.column(place)], pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return mapped(df, run, df.schema)
 
 
 def held_out(key: str = "doc_id"):
