@@ -150,22 +150,81 @@ def dimensions(ndim: int, widths: tuple[int, ...] | None = None, seed: int = 0)
     return out
 
 
+#: Positions of a batch that are hashed at once, so that the tables of one width stay in a core's cache.
+_BLOCK = 8192
+#: Coefficients are split here; sums of both halves over a window are exact in double precision.
+_HALF = 1 << 21
+
+
+def _coefficients(group: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For dimensions of one width: the powers of their multipliers by place in the window, in halves below each other; and
+    the moduli as columns, whole and in halves."""
+    width = group[0][0]
+    powers = np.array([[pow(m, width - 1 - j, p) for j in range(width)] for _, m, p in group], np.int64)
+    moduli = np.array([[p] for *_, p in group], np.int64)
+    return np.concatenate([powers // _HALF, powers % _HALF]).astype(float), *(x.astype(float) for x in (moduli, moduli // _HALF, moduli % _HALF))
+
+
+def _residues(high: np.ndarray, low: np.ndarray, p: np.ndarray, p_high: np.ndarray, p_low: np.ndarray) -> np.ndarray:
+    """(high * _HALF + low) modulo p, exactly: the quotient is at most one too low, never too high."""
+    q = high * (_HALF / p)
+    q += low * (1 / p)
+    q -= 2.0**-20
+    np.floor(q, out=q)
+    high -= q * p_high
+    high *= _HALF
+    low -= q * p_low
+    high += low
+    np.subtract(high, p, out=low)
+    np.copyto(high, low, where=low >= 0)
+    return high
+
+
+def fingerprint_many(raw: np.ndarray, offsets: np.ndarray, dims: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Per text (bytes raw[offsets[i] : offsets[i + 1]]) and dimension the least window hash (its low 32 bits) and how often it
+    occurs; 2**32 - 1 and 0 for a text shorter than the window.
+
+    A window's hash is a sum of bytes times powers, so the hashes of all positions and of all dimensions of one width are one
+    matrix product, reduced modulo each dimension's prime afterwards."""
+    n = len(offsets) - 1
+    size = np.diff(offsets)
+    least, often = np.full((len(dims), n), np.inf), np.zeros((len(dims), n), np.int64)
+    groups: dict[int, list[int]] = {}
+    for d, (width, *_) in enumerate(dims):
+        groups.setdefault(width, []).append(d)
+    tables = {w: _coefficients([dims[d] for d in at]) for w, at in groups.items()}
+    widest = max(groups)
+    there = np.flatnonzero(size)
+    starts, ends = offsets[:-1][there], offsets[1:][there]
+    for first in range(int(offsets[0]), int(offsets[-1]), _BLOCK):
+        last = min(first + _BLOCK, int(offsets[-1]))
+        piece = np.zeros(last - first + widest - 1)
+        given = raw[first : last + widest - 1]
+        piece[: len(given)] = given
+        piece += 1
+        rows = np.lib.stride_tricks.sliding_window_view(piece, last - first)[:widest].copy()
+        a, b = int(np.searchsorted(ends, first, "right")), int(np.searchsorted(starts, last, "left"))
+        cut, stop = np.maximum(starts[a:b], first) - first, np.minimum(ends[a:b], last) - first
+        for width, at in groups.items():
+            table, *moduli = tables[width]
+            sums = table @ rows[:width]
+            found = _residues(sums[: len(at)], sums[len(at) :], *moduli)
+            # Windows that would reach into the next text.
+            over = np.maximum(cut, ends[a:b] - first - width + 1)
+            count = np.maximum(stop - over, 0)
+            found[:, np.repeat(over - np.cumsum(count) + count, count) + np.arange(count.sum())] = np.inf
+            best = np.minimum.reduceat(found, cut, axis=1)
+            hits = np.add.reduceat(found == np.repeat(best, stop - cut, axis=1), cut, axis=1, dtype=np.int64)
+            place = np.ix_(at, there[a:b])
+            old, times = least[place], often[place]
+            often[place] = np.where(best < old, hits, times + np.where(best == old, hits, 0))
+            least[place] = np.minimum(best, old)
+    short = np.isinf(least)
+    hashes = np.where(short, 0xFFFFFFFF, np.where(short, 0, least).astype(np.int64) & 0xFFFFFFFF)
+    return hashes.T, np.where(short, 0, often).T
+
+
 def fingerprint(text: bytes, dims: list[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
-    """Per dimension the least window hash (its low 32 bits) and how often it occurs."""
-    b = np.frombuffer(text, np.uint8).astype(np.int64) + 1
-    hashes, counts = [], []
-    for width, multiplier, modulus in dims:
-        n = len(b) - width + 1
-        if n < 1:
-            hashes.append(0xFFFFFFFF)
-            counts.append(0)
-            continue
-        h = b[:n].copy()
-        for k in range(1, width):
-            h *= multiplier
-            h += b[k : k + n]
-            h %= modulus
-        least = h.min()
-        hashes.append(int(least) & 0xFFFFFFFF)
-        counts.append(int((h == least).sum()))
-    return hashes, counts
+    """fingerprint_many of one text."""
+    hashes, counts = fingerprint_many(np.frombuffer(text, np.uint8), np.array([0, len(text)]), dims)
+    return hashes[0].tolist(), counts[0].tolist()

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame
+from pyspark.sql.functions import arrow_udf
 
-from ..functions.arrow import per_value
 from ..functions.bytesview import Text, col
-from ..functions.kernels import dimensions, fingerprint
+from ..functions.kernels import dimensions, fingerprint_many
 
 TYPE = "struct<hashes:array<bigint>,counts:array<bigint>>"
 
@@ -20,11 +22,16 @@ def fingerprints(x: Text, ndim: int, widths: tuple[int, ...] | None = None, alph
         raise ValueError("a fingerprint has at least one dimension")
     dims = dimensions(ndim, widths, seed)
 
-    def run(data: bytes) -> dict:
-        hashes, counts = fingerprint(data, dims)
-        return {"hashes": hashes, "counts": counts}
+    def run(texts: pa.Array) -> pa.Array:
+        wide = texts.cast(pa.large_binary())
+        _, at, data = wide.buffers()
+        offsets = np.frombuffer(at, np.int64)[wide.offset : wide.offset + len(wide) + 1] if at else np.zeros(1, np.int64)
+        raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+        ends = pa.array(np.arange(len(texts) + 1, dtype=np.int32) * ndim)
+        lists = [pa.ListArray.from_arrays(ends, pa.array(x.ravel())) for x in fingerprint_many(raw, offsets, dims)]
+        return pa.StructArray.from_arrays(lists, names=["hashes", "counts"], mask=texts.is_null())
 
-    return per_value(run, TYPE, col(x).cast("binary"))
+    return arrow_udf(run, TYPE)(col(x).cast("binary"))
 
 
 def similarity(a: Column, b: Column) -> Column:
