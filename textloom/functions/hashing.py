@@ -87,20 +87,24 @@ def _finish(aes: np.ndarray, total: np.ndarray, seed: int, length: np.ndarray) -
 
 
 def hash_many(texts: list[bytes], seed: int = 0) -> np.ndarray:
-    """Unsigned hashes of many texts; texts with equally many blocks advance together."""
+    """Unsigned hashes of many texts. All texts advance together, block by block, those with most blocks first; so the ones
+    that go on are always the first rows."""
     out = np.zeros(len(texts), np.uint64)
     length = np.array([len(t) for t in texts], np.int64)
-    short = length <= 64
-    width = np.where(short, 16, 64)
-    blocks = np.maximum(1, -(-length // width))
-    for wide, count in sorted({(bool(~s), int(b)) for s, b in zip(short, blocks, strict=True)}):
-        at = np.flatnonzero((short != wide) & (blocks == count))
-        lanes = 4 if wide else 1
-        data = np.frombuffer(b"".join(texts[i].ljust(count * 16 * lanes, b"\0") for i in at), np.uint8).reshape(len(at), count, lanes, 16)
-        aes, total = (np.broadcast_to(x, (len(at), lanes, 16)).reshape(-1, 16).copy() for x in _state(seed, lanes))
-        for j in range(count):
-            aes, total = _absorb(aes, total, np.ascontiguousarray(data[:, j]).reshape(-1, 16))
-        out[at] = _finish(aes.reshape(len(at), lanes, 16), total.reshape(len(at), lanes, 16), seed, length[at])
+    for lanes, of in ((1, np.flatnonzero(length <= 64)), (4, np.flatnonzero(length > 64))):
+        wide = 16 * lanes
+        blocks = np.maximum(1, -(-length[of] // wide))
+        order = np.argsort(-blocks, kind="stable")
+        of, blocks = of[order], blocks[order]
+        if not len(of):
+            continue
+        starts = np.concatenate(([0], np.cumsum(blocks)))[:-1]
+        data = np.frombuffer(b"".join([texts[i].ljust(n * wide, b"\0") for i, n in zip(of.tolist(), blocks.tolist(), strict=True)]), np.uint8).reshape(-1, wide)
+        aes, total = (np.broadcast_to(x, (len(of), lanes, 16)).reshape(-1, 16).copy() for x in _state(seed, lanes))
+        for j in range(int(blocks[0])):
+            n = int(np.searchsorted(-blocks, -j, "left"))  # texts with more than j blocks
+            aes[: n * lanes], total[: n * lanes] = _absorb(aes[: n * lanes], total[: n * lanes], data[starts[:n] + j].reshape(-1, 16))
+        out[of] = _finish(aes.reshape(-1, lanes, 16), total.reshape(-1, lanes, 16), seed, length[of])
     return out
 
 
