@@ -7,8 +7,10 @@ maxsplit counts all splits, also those whose part is dropped by skip_empty. A ke
 from __future__ import annotations
 
 import pyspark.sql.functions as F
+import regex
 from pyspark.sql import Column, DataFrame
 
+from .arrow import per_value
 from .bytesview import Text, byte_class, col, quote, raw, unview, view
 
 #: Code points with the White_Space property (fixed values).
@@ -17,6 +19,7 @@ WHITESPACE = "\\u0009-\\u000D\\u0020\\u0085\\u00A0\\u1680\\u2000-\\u200A\\u2028\
 NEWLINE = "\\r\\n|[\\n\\u000B\\f\\r\\u0085\\u2028\\u2029]"
 #: Punctuation, symbols, separators and white space, one code point each.
 DELIMITER = f"[\\p{{P}}\\p{{S}}\\p{{Z}}{WHITESPACE}]"
+_DELIMITERS = regex.compile(DELIMITER)
 
 
 def _limit(maxsplit: int | None) -> int:
@@ -142,6 +145,16 @@ def delimiters(x: Text) -> Column:
     return F.regexp_extract_all(col(x), F.lit(DELIMITER), F.lit(0))
 
 
+def delimiters_bytes(x: Text) -> Column:
+    """The delimiters of any bytes; bytes that aren't UTF-8 are passed over."""
+
+    def run(data: bytes) -> list[str]:
+        # They decode to lone surrogates, which are in no class of delimiters.
+        return _DELIMITERS.findall(data.decode("utf-8", "surrogateescape"))
+
+    return per_value(run, "array<string>", col(x).cast("binary"))
+
+
 def split_delimiters(x: Text, skip_empty: bool = False, with_separators: bool = False) -> Column:
     return _tokens(x, DELIMITER, skip_empty, with_separators)
 

@@ -20,12 +20,30 @@ from .bytesview import Text, col
 FORMS = ("NFC", "NFD", "NFKC", "NFKD")
 
 
+def _plain(x: Column) -> Column:
+    """Whether a STRING is ASCII: as many characters as bytes. Lone continuation bytes count as characters of their own, so a
+    malformed text can pass; kernels that take any bytes don't use this."""
+    return F.octet_length(x) == F.char_length(x)
+
+
+def _beyond_ascii(x: Column, native: Column, kernel) -> Column:
+    """native for ASCII texts, which stay inside the JVM, and kernel (a function of a column) for the others; the kernel sees nulls
+    in place of ASCII texts."""
+    return F.when(_plain(x), native).otherwise(kernel(F.when(~_plain(x), x)))
+
+
 # Case
 
 
 def fold(x: Text) -> Column:
     """Full case folding, as STRING."""
-    return per_value(str.casefold, "string", col(x).cast("string"))
+    x = col(x).cast("string")
+    return _beyond_ascii(x, F.lower(x), lambda t: per_value(str.casefold, "string", t))
+
+
+def fold_bytes(x: Text) -> Column:
+    """Full case folding of any bytes, as BINARY; bytes that aren't UTF-8 stay as they are, each on its own."""
+    return per_value(lambda b: b.decode("utf-8", "surrogateescape").casefold().encode("utf-8", "surrogateescape"), "binary", col(x).cast("binary"))
 
 
 def _folded(text: str) -> tuple[str, list[int]]:
@@ -65,9 +83,17 @@ def uncased_regions(text: str, needle: str, overlapping: bool = False) -> list[t
     return out
 
 
+def _whole(start: int, end: int | None) -> bool:
+    return start == 0 and end is None
+
+
 def uncased_search(x: Text, needle: str, start: int = 0, end: int | None = None) -> Column:
     """Code point offset of the first caseless match, or -1."""
-    return per_value(lambda t: uncased_find(t, needle, start, end), "bigint", x)
+    x = col(x)
+    kernel = lambda t: per_value(lambda v: uncased_find(v, needle, start, end), "bigint", t)
+    if not _whole(start, end):
+        return kernel(x)
+    return _beyond_ascii(x, F.locate(needle.casefold(), F.lower(x)).cast("long") - 1, kernel)
 
 
 def uncased_search_bytes(x: Text, needle: str) -> Column:
@@ -77,12 +103,16 @@ def uncased_search_bytes(x: Text, needle: str) -> Column:
         at = uncased_find(t, needle)
         return at if at < 0 else len(t[:at].encode())
 
-    return per_value(run, "bigint", col(x).cast("string"))
+    x = col(x).cast("string")
+    return _beyond_ascii(x, F.locate(needle.casefold(), F.lower(x)).cast("long") - 1, lambda t: per_value(run, "bigint", t))
 
 
 def uncased_contains(x: Text, needle: str) -> Column:
     """Whether there is a caseless match. Needles without cased characters are plain, native predicates."""
-    return F.contains(col(x), F.lit(needle)) if not any(map(is_cased, needle)) else per_value(lambda t: needle.casefold() in t.casefold(), "boolean", x)
+    x = col(x)
+    if not any(map(is_cased, needle)):
+        return F.contains(x, F.lit(needle))
+    return _beyond_ascii(x, F.contains(F.lower(x), F.lit(needle.casefold())), lambda t: per_value(lambda v: needle.casefold() in v.casefold(), "boolean", t))
 
 
 def uncased_matches(x: Text, needle: str, overlapping: bool = False) -> Column:
@@ -128,11 +158,20 @@ def find_cased(x: Text) -> Column:
 def norm(x: Text, form: str = "NFC") -> Column:
     if form not in FORMS:
         raise ValueError(f"no normal form: {form}")
-    return per_value(lambda t: t if t.isascii() else unicodedata.normalize(form, t), "string", x)
+    x = col(x)
+    return _beyond_ascii(x, x, lambda t: per_value(lambda v: unicodedata.normalize(form, v), "string", t))
+
+
+def norm_bytes(x: Text, form: str = "NFC") -> Column:
+    """The normal form of any bytes, as BINARY; a byte that isn't UTF-8 stays as it is and parts what stands on its sides."""
+    if form not in FORMS:
+        raise ValueError(f"no normal form: {form}")
+    return per_value(lambda b: unicodedata.normalize(form, b.decode("utf-8", "surrogateescape")).encode("utf-8", "surrogateescape"), "binary", col(x).cast("binary"))
 
 
 def is_norm(x: Text, form: str = "NFC") -> Column:
-    return per_value(lambda t: unicodedata.is_normalized(form, t), "boolean", x)
+    x = col(x)
+    return _beyond_ascii(x, F.lit(True), lambda t: per_value(lambda v: unicodedata.is_normalized(form, v), "boolean", t))
 
 
 @functools.cache
@@ -159,7 +198,8 @@ def denormalized_at(text: str, form: str) -> int | None:
 
 
 def find_denormalized(x: Text, form: str = "NFC") -> Column:
-    return per_value(lambda t: None if unicodedata.is_normalized(form, t) else denormalized_at(t, form), "bigint", x)
+    x = col(x)
+    return _beyond_ascii(x, F.lit(None).cast("long"), lambda t: per_value(lambda v: None if unicodedata.is_normalized(form, v) else denormalized_at(v, form), "bigint", t))
 
 
 # Code points
@@ -174,6 +214,11 @@ def codepoints(x: Text) -> Column:
     return F.when(x == "", F.array().cast("array<int>")).otherwise(F.transform(F.split(x, "", -1), F.ascii))
 
 
+def codepoints_bytes(x: Text) -> Column:
+    """The code points of any bytes; each maximal part of an ill-formed sequence is one U+FFFD."""
+    return codepoints(F.make_valid_utf8(col(x).cast("binary").cast("string")))
+
+
 def seek(x: Text, n: int) -> Column:
     """Byte offset of the n-th code point (from 0); null beyond the text."""
     x = col(x)
