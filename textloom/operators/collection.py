@@ -34,13 +34,12 @@ def sort(df: DataFrame, text: str | Column = "s", idx: str = "idx", reverse: boo
 def with_positions(df: DataFrame, *order: Column, name: str = "position") -> DataFrame:
     """df in the given order, with positions from 0 without gaps."""
     ordered = checkpoint(df.orderBy(*order)).withColumn("_id", F.monotonically_increasing_id())
-    part = F.shiftright("_id", 33)
+    part = F.shiftright("_id", 33).cast("long")
     sizes = sorted((r[0], r[1]) for r in ordered.groupBy(part.alias("p")).count().collect())  # a row for each partition
-    starts = dict(zip((p for p, _ in sizes), itertools.accumulate((n for _, n in sizes), initial=0), strict=False))
-    if not starts:
-        return ordered.withColumn(name, F.lit(0).cast("long")).drop("_id")
-    before = F.element_at(F.create_map(*(F.lit(x).cast("long") for pair in starts.items() for x in pair)), part.cast("long"))
-    return ordered.withColumn(name, before + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).drop("_id")
+    starts = list(zip((p for p, _ in sizes), itertools.accumulate((n for _, n in sizes), initial=0), strict=False))
+    before = df.sparkSession.createDataFrame(starts, "_part long, _before long")
+    placed = ordered.withColumn("_part", part).join(F.broadcast(before), "_part")  # as many rows as there are partitions
+    return placed.withColumn(name, F.col("_before") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).drop("_id", "_part", "_before")
 
 
 def argsort(df: DataFrame, text: str | Column = "s", idx: str = "idx", reverse: bool = False, uncased: bool = False, top: int = 0) -> DataFrame:
@@ -59,9 +58,14 @@ def sort_numbers(df: DataFrame, key: str, idx: str = "idx") -> DataFrame:
     return df.orderBy(F.col(key).bitwiseXOR(F.lit(-(1 << 63))), idx)
 
 
-def shuffled(df: DataFrame, seed: int = 0, idx: str = "idx") -> DataFrame:
-    """A permutation that depends on seed and index only, whatever the partitioning."""
-    return df.orderBy(F.xxhash64(F.col(idx), F.lit(seed)), idx)
+def _drawn(idx: Column, seed: int) -> Column:
+    return F.md5(F.concat(F.lit(f"{seed}:"), idx.cast("string")).cast("binary"))
+
+
+def shuffled(df: DataFrame, seed: int = 0, idx: str = "idx", position: str | None = None) -> DataFrame:
+    """A permutation that depends on seed and index only, whatever the partitioning. position: name of a column for the places."""
+    order = _drawn(F.col(idx), seed)
+    return with_positions(df, order, F.col(idx), name=position) if position else df.orderBy(order, idx)
 
 
 def sample(df: DataFrame, size: int, seed: int = 0, idx: str = "idx") -> DataFrame:
@@ -69,7 +73,8 @@ def sample(df: DataFrame, size: int, seed: int = 0, idx: str = "idx") -> DataFra
     n = df.count()
     if not n or not size:
         return df.limit(0).select(F.lit(0).cast("long").alias("draw"), "*")
-    draws = df.sparkSession.range(size).select(F.col("id").alias("draw"), F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n)).alias("_at"))
+    number = F.conv(F.substring(_drawn(F.col("id"), seed), 1, 15), 16, 10).cast("long")
+    draws = df.sparkSession.range(size).select(F.col("id").alias("draw"), F.pmod(number, F.lit(n)).alias("_at"))
     return draws.join(df, F.col("_at") == F.col(idx)).drop("_at")
 
 

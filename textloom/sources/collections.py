@@ -36,6 +36,19 @@ def from_column(df: DataFrame, text: str, order: str, null_as_empty: bool = Fals
     return with_positions(df.select(s.alias("s"), F.col(order).alias("_o")), F.col("_o"), name="idx").select("idx", "s")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df in as many partitions as the session has cores, if it comes in fewer: a file of one row group is read by one task. Larger
+    tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+def append(a: DataFrame, b: DataFrame, idx: str = "idx") -> DataFrame:
+    """The elements of a, then those of b, with b's indexes counted on from a's."""
+    after = a.agg(F.coalesce(F.max(idx) + 1, F.lit(0)).alias("_after"))
+    return a.unionByName(b.crossJoin(F.broadcast(after)).withColumn(idx, F.col(idx) + F.col("_after")).drop("_after"))
+
+
 def layout(df: DataFrame, text: str = "s") -> DataFrame:
     """What an Arrow tape of the collection would take: bytes, offsets, and whether offsets need 64 bits."""
     size = F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).cast("long")
@@ -54,3 +67,19 @@ def write_bytes(df: DataFrame, path: str, text: str = "s", key: str = "idx") ->
     if "\0" in path:
         raise ValueError("a path has no NUL")
     df.select(key, F.col(text).cast("binary").alias(text)).write.parquet(path)
+
+
+def write_file(df: DataFrame, path: str) -> None:
+    """Writes the one value of a table of one row and one column as a file of just its bytes, through Hadoop's file systems."""
+    if "\0" in path:
+        raise ValueError("a path has no NUL")
+    values = df.select(df[df.columns[0]].cast("binary")).limit(2).collect()
+    if len(values) != 1:
+        raise ValueError("one value makes a file")
+    spark = df.sparkSession
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        out.write(bytearray(values[0][0] or b""))
+    finally:
+        out.close()
