@@ -36,11 +36,16 @@ def from_column(df: DataFrame, text: str, order: str, null_as_empty: bool = Fals
     return with_positions(df.select(s.alias("s"), F.col(order).alias("_o")), F.col("_o"), name="idx").select("idx", "s")
 
 
+#: Bytes that a row group of a Parquet file usually has at most; a row group is read by one task.
+ROW_GROUP = 128 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """df in as many partitions as the session has cores, if it comes in fewer: a file of one row group is read by one task. Larger
-    tables stay as they are."""
+    """df dealt out over the session's cores, if it is so small that its files can hold fewer row groups than there are cores.
+    Larger tables stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue()
+    return df if size >= cores * ROW_GROUP else df.repartition(cores)
 
 
 def append(a: DataFrame, b: DataFrame, idx: str = "idx") -> DataFrame:
