@@ -44,7 +44,7 @@ def spread(df: DataFrame) -> DataFrame:
     """df dealt out over the session's cores, if it is so small that its files can hold fewer row groups than there are cores.
     Larger tables stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue()
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
     return df if size >= cores * ROW_GROUP else df.repartition(cores)
 
 
