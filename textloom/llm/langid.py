@@ -8,7 +8,7 @@ as much as the classifier separates its two sides, the nearest codeword wins, an
 Defined cases: a null text and a text without a letter give language ``und``, score 0 and no flag; with no training rows
 every row is ``und``; ties go to the smaller language by code point; repeated rows get equal answers; an empty table
 gives an empty table; other columns never take part. Counts are the only thing gathered: at most 2**BITS numbers for
-each language, whatever the number of rows.
+each language, whatever the number of rows; more than LANGUAGES languages are refused, since every task holds the model.
 """
 
 from __future__ import annotations
@@ -18,10 +18,14 @@ import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
+from . import scratch
 from .textbatch import chunks
 from .workers import mapped
 
 BITS = 15
+LANGUAGES = 4096
+#: Trigrams of a text that are looked up at once.
+STEP = 1 << 18
 _LOW = np.arange(256, dtype=np.uint8)
 _LOW[65:91] += 32
 _LOW[48:58] = 48
@@ -117,7 +121,11 @@ class Model:
 
 
 def fit(df: DataFrame, text: str = "text", lang: str = "lang") -> Model:
-    rows = count_trigrams(df, text, lang).collect()
+    counted = scratch.table(count_trigrams(df, text, lang), "trigrams")
+    if counted.select("lang").distinct().count() > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages; the column of languages seems to hold something else")
+    rows = counted.collect()
+    scratch.release(counted)
     langs = sorted({r.lang for r in rows})
     place = {x: i for i, x in enumerate(langs)}
     counts = np.zeros((len(langs), 1 << BITS))
@@ -147,11 +155,13 @@ def predict(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
                 size = np.diff(c.offsets)
                 margins = np.zeros((c.n, m.weights.shape[1] if m.langs else 1))
                 if m.langs and len(c.raw) > 2:
-                    w = m.weights[_features(c.raw)]
-                    w[~_inside(len(c.raw), c.offsets)] = 0
-                    w = np.vstack([w, np.zeros((2, w.shape[1]), np.float32)])
-                    full = np.flatnonzero(size)
-                    margins[full] = np.add.reduceat(w, c.offsets[full], axis=0, dtype=np.float64) / np.maximum(size[full, None] - 2, 1)
+                    found, ok, full = _features(c.raw), _inside(len(c.raw), c.offsets), np.flatnonzero(size)
+                    for a in range(0, len(found), STEP):
+                        w = m.weights[found[a : a + STEP]]
+                        w[~ok[a : a + STEP]] = 0
+                        at = full[(c.offsets[full] < a + len(w)) & (c.offsets[full + 1] > a)]
+                        margins[at] += np.add.reduceat(w, np.maximum(c.offsets[at] - a, 0), axis=0, dtype=np.float64)
+                    margins /= np.maximum(size[:, None] - 2, 1)
                 best, share, unsure = m.decode(margins) if m.langs else (None, None, None)
                 for i in range(c.n):
                     if m.langs and _has_letter(c.raw[c.offsets[i] : c.offsets[i + 1]]):

@@ -13,7 +13,7 @@ weight; no target exceeds MOST times the source's words, and the excess goes to
 
 Defined cases: a null text has no words; documents without words keep their place and take nothing; a source without words
 has target 0; the offset depends on seed and source only, and ties stand in the order of id, so reruns agree; repeated rows
-stand side by side; an empty table gives an empty table; further columns are kept if named.
+stand side by side; rows without an id are dealt to buckets by their size; an empty table gives an empty table; further columns are kept if named.
 """
 
 from __future__ import annotations
@@ -57,7 +57,7 @@ def mix(df: DataFrame, size, key: str = "doc_id", source: str = "source", keep:
     """key, size, source_size, target, copies, and the columns named in keep. size: a column of whole numbers."""
     keep = [c for c in keep or [] if c != key]
     rows = df.select(F.col(key).alias("k"), size.cast("long").alias("size"), F.col(source).isNull().alias("s0"), F.coalesce(F.col(source), F.lit("")).alias("s"), *(F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)))
-    rows = rows.withColumn("step", F.least(F.floor(F.col("size") / STEP), F.lit(STEPS)).cast("long")).withColumn("bucket", _hex(F.coalesce(F.col("k").cast("string"), F.lit("")), 2))
+    rows = rows.withColumn("step", F.least(F.floor(F.col("size") / STEP), F.lit(STEPS)).cast("long")).withColumn("bucket", _hex(F.coalesce(F.col("k").cast("string"), F.concat(F.lit("size "), F.col("size"))), 2))
     cells = rows.groupBy(*_CELL).agg(F.count("*").alias("n"), F.sum("size").alias("words"))
     steps = cells.groupBy(*_KEY, "step").agg(F.sum("n").alias("n"), F.sum("words").alias("words"))
     sizes = steps.groupBy(*_KEY).agg(F.sum("words").alias("source_size"))
@@ -87,6 +87,6 @@ l AS (SELECT *, (goal - capped) / rest AS lv FROM o),
 f AS (SELECT *, min(CASE WHEN lv * weight <= cap THEN nth END) OVER () AS head FROM l),
 t AS (SELECT s0, s, source_size, CASE WHEN nth < head THEN cap::DOUBLE ELSE weight * (max(CASE WHEN nth = head THEN lv END) OVER ()) END AS target FROM f),
 g AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0::DOUBLE END AS ratio, ('0x' || substr(md5('mix:' || s), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM t),
-r AS (SELECT d.*, row_number() OVER (PARTITION BY s0, s ORDER BY least(size // 32, 4096), ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 2))::BIGINT, size, doc_id) AS place FROM d)
+r AS (SELECT d.*, row_number() OVER (PARTITION BY s0, s ORDER BY least(size // 32, 4096), ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'size ' || size)), 1, 2))::BIGINT, size, doc_id) AS place FROM d)
 SELECT doc_id, size, source_size, target, ((floor(place * ratio + u) - floor((place - 1) * ratio + u)) * size)::BIGINT AS taken FROM r JOIN g USING (s0, s)
 """

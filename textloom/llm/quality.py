@@ -25,6 +25,7 @@ import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
+from . import scratch
 from .textbatch import SPACES, chunks
 from .workers import mapped
 
@@ -32,8 +33,8 @@ from .workers import mapped
 PHI = 0.002
 #: Words in a block of the first pass.
 BLOCK = 2_000_000
-#: A language needs so many words to have references.
-LEAST_REFERENCE = 500
+#: A language needs so many words to have references; with more languages than LANGUAGES, whose references every task holds, the fit is refused.
+LEAST_REFERENCE, LANGUAGES = 500, 4096
 #: Least length of a text, and largest distance, for the test of character classes (bytes) and of common words (words).
 #: The limit for characters stands CHARS_ABOVE over the median distance of the language's texts, so it moves with a reference
 #: that holds junk; CHARS_MOST is for references without texts that are long enough.
@@ -140,11 +141,15 @@ def _candidates(rows: DataFrame, phi: float) -> dict[str, list[bytes]]:
         yield from report()
 
     counted = mapped(rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull()), run, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counted = scratch.table(counted, "words")  # totals and candidates both read it
     totals = counted.where(F.col("word").isNull()).select("lang", F.col("n").alias("total")).where(F.col("total") >= LEAST_REFERENCE)
     likely = counted.where(F.col("word").isNotNull()).join(totals, "lang").where(F.col("n") >= F.lit(phi / 2) * F.col("total"))
+    if totals.count() > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages have references; the column of languages seems to hold something else")
     out: dict[str, list[bytes]] = {}
     for r in likely.select("lang", "word").collect():
         out.setdefault(r.lang, []).append(bytes(r.word))
+    scratch.release(counted)
     return {k: sorted(v) for k, v in sorted(out.items())}
 
 

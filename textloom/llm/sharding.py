@@ -9,6 +9,9 @@ Everything is DataFrame operations: the map and the sums have one row for each s
 broadcast. A record's place in its shard is its rank in its slot plus the number of records in the shard's earlier slots, so
 no task sees more than a slot.
 
+The law is ``bytes``: shards are near equal in bytes. Equal texts aren't kept together, since a group of copies can hold more than a
+shard's share; their ids part them.
+
 Defined cases: a null text has no bytes (size 1, checksum 0); a record without id hashes by its text; repeated rows fall
 into one slot and get neighbouring places; ties in load go to the lower shard, in size to the lower slot; an empty
 table gives an empty table and an unchanged map; further columns are ignored by ``assign`` unless named.

@@ -12,7 +12,7 @@ its total is the sum over the slices. For each query:
 
 All slices of a row lie in the same partition, so phases 2 and 3 share a pass over the table and nothing but entries of
 candidate rows is shuffled. Queries are handled in blocks of about ``BLOCK``, one after another: what is broadcast, and what
-a partition reports, is bounded by a block, whatever the number of rows. Scores are integers; sums that can exceed 2**53
+a partition reports, is bounded by a block, whatever the number of rows. Each block's answer is a part of one table of the shared folder. Scores are integers; sums that can exceed 2**53
 are computed with Python's integers and saturate at the limits of a long.
 
 Defined cases: vectors that are null, empty, or hold null or non-finite components take no part, nor do rows without id;
@@ -23,8 +23,6 @@ an empty table; further columns are ignored.
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 import pyarrow as pa
 import pyspark.sql.functions as F
@@ -88,7 +86,7 @@ def _by_length(ids: list[int], vectors: list[list[float]]) -> dict[int, tuple[np
 
 
 def _local_lists(block, k: int, n_slices: int):
-    """Phase 1: (query, slice, id, total, low); low is the slice's lowest score in this partition, on its first entry."""
+    """Phase 1: (query, id, total) of the best rows, and (query, slice, low), the slice's lowest score in this partition."""
 
     def run(batches):
         best: dict[tuple[int, int], list] = {}
@@ -111,7 +109,9 @@ def _local_lists(block, k: int, n_slices: int):
                         entries = [*zip(score[top].tolist(), who[top].tolist(), t[top].tolist(), strict=True), *(old[0] if old else [])]
                         entries.sort(key=lambda e: (-e[0], e[1]))
                         best[int(q_ids[c]), j] = [entries[:k], max(_LOW, min(int(score.min()), old[1] if old else _HIGH))]
-        out = [(q, j, e[1], e[2], low) for (q, j), (entries, low) in best.items() for e in entries]
+        # A row that is among the best in several slices is reported once; so partitions report rows of their own only.
+        rows = {(q, None, e[1], e[2], None) for (q, _), (entries, _) in best.items() for e in entries}
+        out = [*rows, *((q, j, None, None, low) for (q, j), (_, low) in best.items())]
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["q", "slice", "id", "total", "low"])
 
@@ -159,22 +159,24 @@ def _resolve(block, cutoffs, k: int, n_slices: int):
     return run
 
 
-def _block_top(rows: DataFrame, queries: DataFrame, k: int, n_slices: int) -> DataFrame | None:
-    """The answer for one block of queries; a block is bounded, so it and its cutoffs may go to the driver."""
+def _block_top(rows: DataFrame, queries: DataFrame, k: int, n_slices: int, path: str) -> None:
+    """Adds the answer for one block of queries to a table; a block is bounded, so it and its cutoffs may go to the driver."""
     context = rows.sparkSession.sparkContext
     own = queries.collect()
     if not own:
-        return None
+        return
     block = context.broadcast(_by_length([r.id for r in own], [r.v for r in own]))
     lists = mapped(rows, _local_lists(block, k, n_slices), "q long, slice int, id long, total long, low long")
     lists = scratch.table(lists, "topk-lists")
-    lows = lists.groupBy("q", "slice").agg(F.min("low").alias("low")).groupBy("q").agg(F.map_from_entries(F.collect_list(F.struct("slice", "low"))).alias("lows"))
-    ranked = lists.select("q", "id", "total").distinct().withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("total"), "id"))).where(F.col("rank") == k).select("q", F.col("total").alias("least"))
+    lows = lists.where("slice is not null").groupBy("q", "slice").agg(F.min("low").alias("low")).groupBy("q").agg(F.map_from_entries(F.collect_list(F.struct("slice", "low"))).alias("lows"))
+    ranked = lists.where("slice is null").select("q", "id", "total").withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("total"), "id"))).where(F.col("rank") == k).select("q", F.col("total").alias("least"))
     cutoffs = context.broadcast({r.q: (r.least, [r.lows[j] for j in sorted(r.lows)]) for r in lows.join(ranked, "q", "left").collect()})
     scratch.release(lists)
     found = mapped(rows, _resolve(block, cutoffs, k, n_slices), "q long, id long, total long")
     best = Window.partitionBy("q").orderBy(F.desc("total"), "id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(F.col("q").alias("query_id"), F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), F.col("total").alias("score"))
+    top = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(F.col("q").alias("query_id"), F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), F.col("total").alias("score"))
+    top.write.mode("append").parquet(path)
+    scratch.release(block, cutoffs)
 
 
 def search(df: DataFrame, is_query, key: str = "vec_id", vector: str = "embedding", k: int = K, n_slices: int = SLICES, block: int = BLOCK) -> DataFrame:
@@ -183,11 +185,11 @@ def search(df: DataFrame, is_query, key: str = "vec_id", vector: str = "embeddin
     queries = clean(df.where(is_query), key, vector).groupBy("id").agg(F.min("v").alias("v"))
     n = queries.count()
     blocks = max(1, -(-n // block))
-    found = [_block_top(rows, queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b), k, n_slices) for b in range(blocks)]
-    found = [x if blocks == 1 else scratch.table(x, "topk") for x in found if x is not None]
-    if not found:
-        return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    return functools.reduce(DataFrame.unionAll, found)
+    path, schema = scratch.new_path(rows.sparkSession, "topk"), "query_id long, rank int, vec_id long, score long"
+    rows.sparkSession.createDataFrame([], schema).write.parquet(path)
+    for b in range(blocks):
+        _block_top(rows, queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b), k, n_slices, path)
+    return rows.sparkSession.read.schema(schema).parquet(path)
 
 
 def op2_topk(spark, sf_dir: str) -> DataFrame:
