@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 from fractions import Fraction
 
+import numpy as np
 import pyspark.sql.functions as F
 import pytest
 
@@ -91,6 +92,34 @@ def test_hot_anchors_are_cut(spark, monkeypatch):
     assert got == set(removed(rows, 16))
 
 
+def test_a_passage_of_many_texts_makes_no_large_group(spark, monkeypatch):
+    """5000 texts that share 28 words between words of their own: what a task of the automata gets stays small."""
+    seen = spark.sparkContext.accumulator(0)
+    kernel = substring._shard_kernel
+
+    def counted(w):
+        inner = kernel(w)
+
+        def run(table):
+            if table.num_rows > 3000:
+                seen.add(1)
+            return inner(table)
+
+        return run
+
+    monkeypatch.setattr(substring, "_shard_kernel", counted)
+    passage = " ".join(f"p{i}" for i in range(28))
+    own = lambda i, k: " ".join(f"{k}{i}x{j}" for j in range(15))
+    rows = [(i, f"{own(i, 'a')} {passage} {own(i, 'b')}") for i in range(5000)]
+    rows += [(6000, rows[3][1])] * 40  # one document many times, and its text stands in another, so that all its runs are copies
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = removed(sorted(set(rows)), 20)
+    assert Counter(tuple(r)[:4] for r in substring.dedup(df).collect()) == Counter({x: 40 if x[0] == 6000 else 1 for x in want})
+    assert seen.value == 0
+    spans = substring.spans(substring._rows(df, "doc_id", "text", []).select("doc", "th", "text")).where("doc = 6000").collect()
+    assert len(spans) == 1 and len(spans[0].spans) < 60
+
+
 def test_bpe(docs, empty):
     ids = bpe.decode(bpe.encode(docs.select("doc_id", "text", "n"))).collect()
     assert all(bytes(r.raw) == (r.text or "").encode() and r.n == "x" for r in ids)
@@ -127,6 +156,27 @@ def test_sharding(docs, empty, spark):
     assert place(empty)[0].count() == 0
 
 
+def test_rebalancing_like_a_plain_loop(spark):
+    sizes = [(i * 7919) % 97 + (400 if i % 11 == 0 else 0) for i in range(64)]
+    sums = spark.createDataFrame([(i, b, 1) for i, b in enumerate(sizes)], "vslot int, bytes long, n long")
+    for shards in (4, 5):
+        fair, loads, free, want = sum(sizes) / shards, [0] * shards, [], {}
+        for s in range(4):
+            upto = 0
+            for i in sorted((i for i in range(64) if i % 4 == s), key=lambda i: (-sizes[i], i)):
+                upto += sizes[i]
+                if upto <= fair or not sizes[i]:
+                    loads[s] += sizes[i]
+                    want[i] = s
+                else:
+                    free.append(i)
+        for i in sorted(free, key=lambda i: (-sizes[i], i)):
+            want[i] = loads.index(min(loads))
+            loads[want[i]] += sizes[i]
+        got = {r.vslot: r.shard for r in sharding.rebalance(sharding.first_map(spark, 4, 64), sums, shards).collect()}
+        assert got == want
+
+
 def test_rebalancing_is_near_equal_and_moves_little(spark):
     sums = spark.range(512).select(F.col("id").cast("int").alias("vslot"), (F.pmod(F.xxhash64("id"), F.lit(1000)) + 1 + F.when(F.col("id") % 16 == 0, 5000).otherwise(0)).alias("bytes"), F.lit(1).cast("long").alias("n"))
     first = sharding.first_map(spark, 16, 512)
@@ -191,6 +241,31 @@ def test_divergence_rejects_other_text(spark):
     assert {r.doc_id for r in quality.rules(df, quality.references(df)).where("not kept").collect()} == {i for i in range(0, 200, 20)}
 
 
+def test_distance_like_the_definition():
+    import math
+
+    import numpy as np
+
+    def divergence(p, q):
+        return sum(a * math.log2(a / b) for a, b in zip(p, q, strict=True) if a)
+
+    rng = np.random.default_rng(5)
+    for _ in range(50):
+        p, q = (x / x.sum() for x in rng.integers(0, 4, (2, 6)) + np.eye(6)[rng.integers(0, 6, 2)])
+        m = [(a + b) / 2 for a, b in zip(p, q, strict=True)]
+        assert quality.distance(p, q) == pytest.approx(math.sqrt(max(0, (divergence(p, m) + divergence(q, m)) / 2)), abs=1e-9)
+    assert quality.distance(np.array([1.0, 0]), np.array([0, 1.0])) == 1 and quality.distance(np.array([0.5, 0.5]), np.array([0.5, 0.5])) == 0
+
+
+def test_too_many_languages_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(quality, "LANGUAGES", 3)
+    monkeypatch.setattr(langid, "LANGUAGES", 3)
+    df = spark.createDataFrame([(i, "many words " * 300, f"l{i}") for i in range(5)], "doc_id long, text string, lang string")
+    for fit in (quality.references, langid.fit):
+        with pytest.raises(ValueError, match="languages"):
+            fit(df)
+
+
 def test_common_words_are_exact(spark, monkeypatch):
     monkeypatch.setattr(quality, "BLOCK", 50)
     monkeypatch.setattr(quality, "LEAST_REFERENCE", 1)
@@ -231,6 +306,32 @@ def test_toxicity(spark, docs, empty):
     assert {r.score for r in toxicity.score(docs, none).collect()} == {0.0}
 
 
+def test_decoding_finds_the_cheapest_reading():
+    import itertools
+    import math
+
+    import numpy as np
+
+    model = toxicity.CharacterModel(np.random.default_rng(3).integers(0, 50, toxicity.SIZE**3))
+    code = lambda c: toxicity._LETTERS.index(c) + 1 if c in toxicity._LETTERS else toxicity._OTHER
+
+    def price(ways):
+        read, total = "".join(x for x, _ in ways), sum(p for _, p in ways)
+        at = [0, 0, *map(code, read), 0]
+        return total + sum(model.cost[a][b][c] for a, b, c in zip(at, at[1:], at[2:], strict=False)), read
+
+    for token in ("1d10t", "l00ser", "a.b.c", "sstuuupid", "m0r0n!", "*a*", "x", "", "é1é", "b@d$"):
+        every = [price(ways) for ways in itertools.product(*toxicity.lattice(token))]
+        got = toxicity.decode(token, model)
+        assert got in {read for total, read in every if math.isclose(total, min(every)[0])}, token
+
+
+def test_letters_beyond_ascii_count_once(spark):
+    counts = {r.bucket: r.n for r in toxicity.count_characters(spark.createDataFrame([("é",), ("aé",)], "text string").coalesce(1)).collect()}
+    other = toxicity._OTHER
+    assert sum(counts.values()) == 3 and all((b // toxicity.SIZE**2, b // toxicity.SIZE % toxicity.SIZE, b % toxicity.SIZE).count(other) <= 2 for b in counts)
+
+
 def test_toxicity_in_long_tokens(spark):
     rows = [(i, f"fine text number {i} about things" + (" you idiotic fool" if i % 3 == 0 else "")) for i in range(90)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
@@ -255,12 +356,15 @@ VECTORS = [(0, [0.5, -0.25, 1.0, 2.0]), (100, [0.5, -0.25, 1.0, 2.0]), (1, [0.5,
 
 def test_topk(spark):
     df = spark.createDataFrame(VECTORS, "vec_id long, embedding array<float>").withColumn("rank", F.lit("x")).repartition(3)
-    got = topk.search(df, F.pmod(F.col("vec_id"), F.lit(100)) == 0, k=3)
+    got = topk.search(df.select("*", *(F.lit("x").alias(c) for c in ("id", "v", "q", "total"))), F.pmod(F.col("vec_id"), F.lit(100)) == 0, k=3)
     rows = {}
     for r in got.collect():
         rows.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
     assert sorted(rows) == [0, 100, 200]
     assert [x[:2] for x in sorted(rows[0])][1:] == [(2, 1), (3, 100)] and sorted(rows[0])[0][1] in (10, 200)
+    floors = {i: [int(np.floor(np.float32(x).astype(float) * 1024)) for x in v] for i, v in VECTORS if v and len(v) == 4 and i not in (4, 5, 6)}
+    clipped = lambda a, b: max(-(1 << 63), min((1 << 63) - 1, sum(x * y for x, y in zip(floors[a], floors[b], strict=True))))
+    assert all(score == clipped(q, i) for q, top in rows.items() for _, i, score in top)
     assert topk.search(df.where("false"), F.lit(True)).count() == 0
 
 
@@ -340,6 +444,57 @@ def test_warc_is_validated(spark):
         warc.http_payload(warc.parse(good.replace(b"payload\r\n\r\n", b"paYload\r\n\r\n")))
 
 
+def foreign(kind: str, block: bytes, *headers: str, record_id: str = "<urn:uuid:0dc3ff4e-9f37-4f1f-8cd2-5d1c7f9d1f00>") -> bytes:
+    lines = ["WARC/1.0", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id}", "WARC-Date: 2020-02-02T02:02:02Z", f"Content-Length: {len(block)}", *headers]
+    return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def test_warc_of_other_makers(spark, tmp_path):
+    import zstandard
+
+    http = "Content-Type: application/http; msgtype=response"
+    body = b"hello"
+    chunked = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n5\r\nhello\r\n0\r\n\r\n"
+    plain = b"HTTP/1.1 200 OK\r\n\r\n" + body
+    sha1 = lambda x: warc.base64.b32encode(hashlib.sha1(x).digest()).decode()
+    records = [
+        foreign("warcinfo", b"software: x\r\n", "Content-Type: application/warc-fields"),
+        foreign("request", b"GET / HTTP/1.1\r\nHost: a\r\n\r\n", "Content-Type: application/http; msgtype=request", "WARC-Concurrent-To: <a>", "WARC-Concurrent-To: <b>"),
+        foreign("response", b"HTTP/1.1 200 OK\r\nContent-Length: 5\r\n\r\n" + body, http, "WARC-Target-URI: http://a/", f"WARC-Payload-Digest: sha1:{sha1(body)}"),
+        foreign("response", plain, http, f"WARC-Payload-Digest: sha-256:{hashlib.sha256(body).hexdigest()}", f"WARC-Block-Digest: sha1:{sha1(plain)}"),
+        foreign("response", chunked, http, f"WARC-Payload-Digest: sha1:{sha1(body)}"),
+        foreign("response", b"10 IN A 1.2.3.4", "Content-Type: text/dns", "WARC-Target-URI: dns:a"),
+        foreign("metadata", b"via: x", "Content-Type:", "\tapplication/warc-fields"),
+        foreign("revisit", b"", "WARC-Refers-To: <urn:uuid:x>"),
+        foreign("revisit", b"HTTP/1.1 304 Not Modified\r\n\r\n", http, f"WARC-Payload-Digest: sha1:{sha1(body)}"),
+        foreign("resource", b"", record_id="<urn:page:12>"),
+    ]
+    rows = spark.createDataFrame([("other.warc.zst", bytearray(b"".join(map(zstandard.compress, records)))), ("none.warc.zst", bytearray()), ("null.warc.zst", None)], "path string, content binary")
+    assert {r.path: r.bytes for r in warc.save(rows, f"file://{tmp_path}/archives").collect()} == {"other.warc.zst": sum(len(zstandard.compress(r)) for r in records), "none.warc.zst": 0}
+    files = spark.read.format("binaryFile").load(f"file://{tmp_path}/archives")
+    got = warc.read(files).orderBy("offset").collect()
+    assert [r.record_type for r in got] == ["warcinfo", "request", "response", "response", "response", "response", "metadata", "revisit", "revisit", "resource"]
+    assert [r.payload_bytes for r in got] == [13, 0, 5, 5, len(chunked) - 47, 15, 6, None, None, 0]
+    assert got[8].payload_digest == hashlib.sha1(body).hexdigest() and got[7].payload_digest is None and got[7].refers_to_id == "<urn:uuid:x>" and got[7].refers_to is None
+    assert [r.page_id for r in got] == [None] * 9 + [12] and all(r.problem is None for r in got)
+
+    http_head = b"HTTP/1.1 200 OK\r\nContent-Length: 6\r\n\r\n"
+    for raw, what in (
+        (foreign("response", http_head + body, http), "5 bytes, not 6"),
+        (foreign("response", b"HTTP/1.1 200 OK", http), "no HTTP headers"),
+        (foreign("response", body, f"WARC-Payload-Digest: sha1:{sha1(b'other')}"), "its digest"),
+        (foreign("response", body, "WARC-Block-Digest: md5:" + "0" * 32), "its digest"),
+        (foreign("response", body, "WARC-Payload-Digest: sha1:!!"), "malformed"),
+        (foreign("resource", body, "WARC-Date: again"), "repeated"),
+    ):
+        damaged = spark.createDataFrame([("d", bytearray(zstandard.compress(records[0]) + zstandard.compress(raw) + zstandard.compress(records[5]) + b"junk!"))], "path string, content binary")
+        told = warc.read(damaged, strict=False).orderBy("offset").collect()
+        assert [r.problem is None for r in told] == [True, False, True, False]
+        assert what in told[1].problem and told[1].path == "d" and told[1].offset > 0
+        with pytest.raises(Exception, match=f"d, at {told[1].offset}: "):
+            warc.read(damaged).collect()
+
+
 def test_five_words_and_other_thresholds(spark):
     rows = [(i, " ".join(f"w{j}" if j != i * 5 else "zz" for j in range(100))) for i in range(12)]
     df = spark.createDataFrame(rows, "doc_id long, text string")

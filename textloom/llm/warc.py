@@ -14,15 +14,20 @@ can split where a group is hot.
 
 Defined cases: a null or empty payload gives a record with an empty payload; null urls give an empty target; a null page
 id never wins a group that has others, and is written as no id; where the largest id of a group occurs in several rows
-all of them are responses; an empty table gives no archive; further columns are ignored. A damaged archive raises
-``WarcError`` with path and offset.
+all of them are responses; an empty table gives no archive; further columns are ignored.
+
+The reader takes archives of other makers too: all record types, any record ids, continued header lines, missing digests, digests by
+other functions or in hexadecimal, chunked bodies, records whose block is no HTTP message. A damaged archive or record raises ``WarcError`` with
+path and offset, or, if the reader isn't strict, becomes a row that says what is wrong.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import struct
+import uuid
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -90,7 +95,8 @@ def train_dictionary(df: DataFrame, payload: str = "html") -> bytes:
     """A dictionary trained on a bounded sample of payloads; empty if there are too few to train on."""
     import zstandard
 
-    rows = df.where(F.length(payload) >= 64).select(F.encode(F.substring(payload, 1, SAMPLE_BYTES), "UTF-8")).limit(SAMPLE_ROWS).collect()
+    # The same rows on every run, so that reruns make the same archives.
+    rows = df.where(F.length(payload) >= 64).select(F.encode(F.substring(payload, 1, SAMPLE_BYTES), "UTF-8").alias("x")).orderBy(F.xxhash64("x"), "x").limit(SAMPLE_ROWS).collect()
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, [bytes(r[0]) for r in rows], threads=0).as_bytes() if len(rows) >= 8 else b""
     except zstandard.ZstdError:
@@ -190,6 +196,10 @@ def load_dictionary(data: memoryview) -> tuple[bytes, int]:
     return body, 8 + size
 
 
+#: Headers that a record has once at most (of the others, repeated ones are joined).
+ONCE = {"warc-type", "warc-record-id", "warc-date", "content-length", "content-type", "warc-target-uri", "warc-refers-to", "warc-payload-digest", "warc-block-digest"}
+
+
 def parse(raw: bytes) -> Record:
     """One record from a frame's content, which must hold that record and nothing more."""
     end = raw.find(b"\r\n\r\n")
@@ -199,11 +209,19 @@ def parse(raw: bytes) -> Record:
     if lines[0] not in (b"WARC/1.0", b"WARC/1.1"):
         raise WarcError(f"not a version line: {lines[0][:40]!r}")
     headers: dict[str, str] = {}
+    name = ""
     for line in lines[1:]:
-        name, colon, value = line.decode("utf-8", "replace").partition(":")
-        if not colon or not name.strip():
+        text = line.decode("utf-8", "replace")
+        if text[:1] in (" ", "\t") and name:  # a continued line
+            headers[name] += " " + text.strip()
+            continue
+        name, colon, value = text.partition(":")
+        name = name.strip().lower()
+        if not colon or not name:
             raise WarcError(f"not a header: {line[:40]!r}")
-        headers[name.strip().lower()] = value.strip()
+        if name in headers and name in ONCE:
+            raise WarcError(f"header {name} is repeated")
+        headers[name] = f"{headers[name]}, {value.strip()}" if name in headers else value.strip()
     for name in ("warc-type", "warc-record-id", "warc-date", "content-length"):
         if name not in headers:
             raise WarcError(f"header {name} is missing")
@@ -242,59 +260,157 @@ def frames(content: bytes) -> Iterator[tuple[int, bytes]]:
         at = end
 
 
-def _page(urn: str) -> int | None:
-    value = urn.removeprefix("<urn:page:").removesuffix(">")
-    return int(value) if value else None
+def _page(record_id: str | None) -> int | None:
+    """The page id in a record id of ours; null for others."""
+    found = re.fullmatch(r"<urn:page:(-?[0-9]{1,19})>", record_id or "")
+    return int(found[1]) if found and -(1 << 63) <= int(found[1]) < 1 << 63 else None
 
 
-def http_payload(rec: Record) -> tuple[int, bytes | None]:
-    """The payload's length, and the payload itself if the record holds it, checked against its length and digest."""
-    head, gap, body = rec.block.partition(b"\r\n\r\n")
-    if not gap:
-        raise WarcError("the block has no HTTP headers")
-    sizes = [x.split(b":", 1)[1].strip() for x in head.split(b"\r\n") if x.lower().startswith(b"content-length:")]
-    if len(sizes) != 1 or not sizes[0].isdigit():
-        raise WarcError("the HTTP headers give no length")
-    if rec.headers["warc-type"] == "revisit":
+def _digest(given: str) -> tuple[str, bytes] | None:
+    """Function and bytes of a digest header, in base 32 or hexadecimal; none if the function isn't known."""
+    name, _, value = given.partition(":")
+    name = name.strip().lower().replace("-", "")
+    if name not in ("md5", "sha1", "sha256", "sha384", "sha512"):
+        return None
+    size = hashlib.new(name).digest_size
+    try:
+        return name, bytes.fromhex(value) if len(value) == 2 * size else base64.b32decode(value.upper() + "=" * (-len(value) % 8))
+    except ValueError as e:
+        raise WarcError(f"a digest is malformed: {given[:80]!r}") from e
+
+
+def _unchunked(body: bytes) -> bytes | None:
+    """The body that a chunked transfer carries; none if it isn't well formed."""
+    out, at = [], 0
+    while (end := body.find(b"\r\n", at)) >= 0:
+        size = body[at:end].split(b";")[0].strip()
+        if not re.fullmatch(rb"[0-9A-Fa-f]{1,8}", size):
+            return None
+        if not int(size, 16):
+            return b"".join(out)
+        at = end + 2 + int(size, 16)
+        out.append(body[end + 2 : at])
+        if body[at : at + 2] != b"\r\n":
+            return None
+        at += 2
+    return None
+
+
+def http_payload(rec: Record) -> tuple[int | None, bytes | None]:
+    """The payload's length, and the payload itself if the record holds it, checked against its lengths and digests. Where the block is
+    no HTTP message, it is the payload."""
+    h = rec.headers
+    block = _digest(h.get("warc-block-digest", ""))
+    if block and hashlib.new(block[0], rec.block).digest() != block[1]:
+        raise WarcError("the block doesn't match its digest")
+    revisit = h["warc-type"].lower() == "revisit"
+    body, size, chunked = rec.block, None, False
+    if rec.block.startswith(b"HTTP/") or h["warc-type"].lower() in ("response", "request") and "application/http" in h.get("content-type", "").lower():
+        head, gap, body = rec.block.partition(b"\r\n\r\n")
+        if not gap and not revisit:
+            raise WarcError("the block has no HTTP headers")
+        fields = [x.split(b":", 1) for x in head.split(b"\r\n")[1:] if b":" in x]
+        sizes = {v.strip() for k, v in fields if k.strip().lower() == b"content-length"}
+        chunked = any(k.strip().lower() == b"transfer-encoding" and b"chunked" in v.lower() for k, v in fields)
+        if len(sizes) > 1 or any(not x.isdigit() for x in sizes):
+            raise WarcError("the HTTP headers give no length")
+        size = int(sizes.pop()) if sizes else None
+    if revisit:
         if body:
             raise WarcError("a revisit holds a payload")
-        return int(sizes[0]), None
-    if len(body) != int(sizes[0]):
-        raise WarcError(f"the payload has {len(body)} bytes, not {int(sizes[0])}")
-    digest = rec.headers.get("warc-payload-digest", "")
-    if digest != "sha1:" + base64.b32encode(hashlib.sha1(body).digest()).decode():
-        raise WarcError("the payload doesn't match its digest")
+        return size, None
+    if size is not None and not chunked and len(body) != size and "warc-truncated" not in h and h["warc-type"].lower() == "response":
+        raise WarcError(f"the payload has {len(body)} bytes, not {size}")
+    given = _digest(h.get("warc-payload-digest", ""))
+    if given and "warc-truncated" not in h:
+        # Some makers digest a chunked body as it came, others what it carries.
+        forms = [body, _unchunked(body)] if chunked else [body]
+        if not any(x is not None and hashlib.new(given[0], x).digest() == given[1] for x in forms):
+            raise WarcError("the payload doesn't match its digest")
     return len(body), body
 
 
-def read(archives: DataFrame, payloads: bool = True) -> DataFrame:
-    """path, offset, record_type, page_id, target_uri, payload_bytes, payload_digest (hex), refers_to, payload."""
-    rows = archives.select("path", "content")
-    schema = "path string, offset long, record_type string, page_id long, target_uri string, payload_bytes long, payload_digest string, refers_to long, payload binary"
-    kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
-    names = [x.split()[0] for x in schema.split(", ")]
+_READ = {
+    "path": ("string", pa.string()), "offset": ("long", pa.int64()), "record_type": ("string", pa.string()), "record_id": ("string", pa.string()), "page_id": ("long", pa.int64()),
+    "target_uri": ("string", pa.string()), "payload_bytes": ("long", pa.int64()), "payload_digest": ("string", pa.string()), "refers_to_id": ("string", pa.string()), "refers_to": ("long", pa.int64()),
+    "payload": ("binary", pa.binary()), "problem": ("string", pa.string()),
+}
 
-    def run(batches):
-        for batch in batches:
-            for path, content in zip(*batch.columns, strict=True):
-                path, held, size = path.as_py(), [], 0
+
+def _read_record(path: str, at: int, raw: bytes, payloads: bool) -> tuple:
+    rec = parse(raw)
+    length, body = http_payload(rec)
+    if body is not None:
+        digest = hashlib.sha1(body).hexdigest()
+    else:
+        given = _digest(rec.headers.get("warc-payload-digest", ""))
+        digest = given[1].hex() if given and given[0] == "sha1" else None
+    own, to = rec.headers["warc-record-id"], rec.headers.get("warc-refers-to")
+    return path, at, rec.headers["warc-type"], own, _page(own), rec.headers.get("warc-target-uri", ""), length, digest, to, _page(to), body if payloads else None, None
+
+
+def read(archives: DataFrame, payloads: bool = True, strict: bool = True) -> DataFrame:
+    """One row for each record of archives (path, content): path, offset, record_type, record_id, page_id, target_uri, payload_bytes,
+    payload_digest (hex SHA-1), refers_to_id, refers_to (a page id), payload, problem.
+
+    strict: a damaged record is an error; otherwise its row has only path, offset and problem, and reading goes on as far as frames
+    can be told apart."""
+
+    def batch(rows: list[tuple]):
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, (_, k) in zip(zip(*rows, strict=True), _READ.values(), strict=True)], names=list(_READ))
+
+    def records(path: str, content: bytes):
+        at = 0
+        try:
+            for at, raw in frames(content):  # noqa: B020
                 try:
-                    for at, raw in frames(content.as_buffer().to_pybytes() if content.is_valid else b""):
-                        rec = parse(raw)
-                        length, body = http_payload(rec)
-                        digest = base64.b32decode(rec.headers["warc-payload-digest"].removeprefix("sha1:")).hex()
-                        to = rec.headers.get("warc-refers-to")
-                        held.append((path, at, rec.headers["warc-type"], _page(rec.headers["warc-record-id"]), rec.headers.get("warc-target-uri", ""), length, digest, _page(to) if to else None, body if payloads else None))
-                        size += len(raw)
-                        if size > 4 << 20:
-                            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*held, strict=True), kinds, strict=True)], names=names)
-                            held, size = [], 0
+                    yield len(raw), _read_record(path, at, raw, payloads)
                 except WarcError as e:
-                    raise WarcError(f"{path}: {e}") from e
+                    if strict:
+                        raise
+                    yield 0, (path, at, *[None] * 9, str(e))
+        except WarcError as e:
+            if strict:
+                raise WarcError(f"{path}, at {at}: {e}") from e
+            yield 0, (path, at, *[None] * 9, str(e))
+
+    def run(batches):
+        for whole in batches:
+            for path, content in zip(*whole.columns, strict=True):
+                held, size = [], 0
+                for n, row in records(path.as_py(), content.as_buffer().to_pybytes() if content.is_valid else b""):
+                    held.append(row)
+                    size += n
+                    if size > 4 << 20:
+                        yield batch(held)
+                        held, size = [], 0
                 if held:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*held, strict=True), kinds, strict=True)], names=names)
+                    yield batch(held)
+
+    return mapped(archives.select("path", "content"), run, ", ".join(f"{name} {kind}" for name, (kind, _) in _READ.items()))
+
 
-    return mapped(rows, run, schema)
+def save(archives: DataFrame, folder: str) -> DataFrame:
+    """Writes each archive as a file of its own, named by its path, into a folder (a URI of a file system that pyarrow knows and all
+    machines share); path and bytes of the files. A file is written aside and then moved, so a repeated task does no harm."""
+
+    def run(batches):
+        from pyarrow import fs
+
+        system, top = fs.FileSystem.from_uri(folder)
+        system.create_dir(top, recursive=True)
+        for whole in batches:
+            sizes = []
+            for path, content in zip(*whole.columns, strict=True):
+                data = content.as_buffer()
+                aside = f"{top}/.{path.as_py()}.{uuid.uuid4().hex}"
+                with system.open_output_stream(aside) as out:
+                    out.write(data)
+                system.move(aside, f"{top}/{path.as_py()}")
+                sizes.append(data.size)
+            yield pa.RecordBatch.from_arrays([whole.column(0), pa.array(sizes, pa.int64())], names=["path", "bytes"])
+
+    return scratch.table(mapped(archives.where(F.col("content").isNotNull()).select("path", "content"), run, "path string, bytes long"), "archives")
 
 
 def op1_warc(spark, sf_dir: str) -> DataFrame:
