@@ -166,6 +166,32 @@ def test_fingerprints_of_different_texts(spark):
     assert got == {i: sum(a == b for a, b in zip(h, own[i + 1], strict=True)) / 32 for i, h in own.items() if i + 1 in own} and min(got.values()) < 1
 
 
+def test_candidates_have_no_pairs_of_equal_sketches(spark):
+    df = spark.createDataFrame([(i, [1, 2, 3, 4]) for i in range(50)] + [(60, [1, 2, 9, 9]), (61, [8, 8, 8, 8])], "id long, hashes array<long>")
+    assert [tuple(r) for r in fingerprints.candidates(df, "id", bands=2).collect()] == [(0, 60)]
+    assert {r["class"] for r in fingerprints.classes(df, "id").where("id < 50").collect()} == {0}
+
+
+def test_one_raw_file(spark, tmp_path):
+    path = f"file://{tmp_path}/x.bin"
+    sources.write_file(spark.createDataFrame([(bytearray(b"\xff\n\x00a"),)], "x binary"), path)
+    assert (tmp_path / "x.bin").read_bytes() == b"\xff\n\x00a"
+    with pytest.raises(ValueError):
+        sources.write_file(spark.range(2).select(F.lit("a").alias("x")), path)
+    with pytest.raises(ValueError):
+        sources.write_file(spark.range(1), "a\0b")
+
+
+def test_native_paths_equal_the_kernels(spark):
+    texts = ["", "Plain ASCII text", "ÉTÉ Straße", "x" * 300 + "Ti", "tI\u0130", None, "\u212aelvin"]
+    df = spark.createDataFrame([(t,) for t in texts], "s string").coalesce(1)
+    make = lambda: [unicode.fold("s"), *(unicode.norm("s", f) for f in unicode.FORMS), unicode.is_norm("s", "NFD"), unicode.find_denormalized("s", "NFD"), unicode.uncased_search("s", "tI"), unicode.uncased_search("s", "ss"), unicode.uncased_search_bytes("s", "K"), unicode.uncased_contains("s", "TI")]
+    native = [tuple(r) for r in df.select(*make()).collect()]
+    with unicode.kernels_only():
+        assert [tuple(r) for r in df.select(*make()).collect()] == native
+    assert [r[0] for r in native] == [None if t is None else t.casefold() for t in texts]
+
+
 def test_catalogue_matches_sql(spark):
     con = duckdb.connect()
     for t in "region nation customer supplier part orders documents pages benchmark conversations".split():

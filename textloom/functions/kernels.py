@@ -180,9 +180,9 @@ def _residues(high: np.ndarray, low: np.ndarray, p: np.ndarray, p_high: np.ndarr
     return high
 
 
-def fingerprint_many(raw: np.ndarray, offsets: np.ndarray, dims: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
+def fingerprint_many(raw: np.ndarray, offsets: np.ndarray, dims: list[tuple[int, int, int]], whole: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Per text (bytes raw[offsets[i] : offsets[i + 1]]) and dimension the least window hash (its low 32 bits) and how often it
-    occurs; 2**32 - 1 and 0 for a text shorter than the window.
+    occurs; 2**32 - 1 and 0 for a text shorter than the window. whole: all bits of the hash, infinity if there is none.
 
     A window's hash is a sum of bytes times powers, so the hashes of all positions and of all dimensions of one width are one
     matrix product, reduced modulo each dimension's prime afterwards."""
@@ -219,6 +219,8 @@ def fingerprint_many(raw: np.ndarray, offsets: np.ndarray, dims: list[tuple[int,
             old, times = least[place], often[place]
             often[place] = np.where(best < old, hits, times + np.where(best == old, hits, 0))
             least[place] = np.minimum(best, old)
+    if whole:
+        return least.T, often.T
     short = np.isinf(least)
     hashes = np.where(short, 0xFFFFFFFF, np.where(short, 0, least).astype(np.int64) & 0xFFFFFFFF)
     return hashes.T, np.where(short, 0, often).T

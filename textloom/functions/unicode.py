@@ -6,6 +6,7 @@ interpreter, segment properties of the ``regex`` module).
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import sys
 import unicodedata
@@ -26,9 +27,25 @@ def _plain(x: Column) -> Column:
     return F.octet_length(x) == F.char_length(x)
 
 
+_NATIVE = [True]
+
+
+@contextlib.contextmanager
+def kernels_only():
+    """Within it, functions make columns that go through their Arrow kernels even where there is a native way: to hold both against each
+    other."""
+    _NATIVE.append(False)
+    try:
+        yield
+    finally:
+        _NATIVE.pop()
+
+
 def _beyond_ascii(x: Column, native: Column, kernel) -> Column:
     """native for ASCII texts, which stay inside the JVM, and kernel (a function of a column) for the others; the kernel sees nulls
     in place of ASCII texts."""
+    if not _NATIVE[-1]:
+        return kernel(x)
     return F.when(_plain(x), native).otherwise(kernel(F.when(~_plain(x), x)))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..functions import cipher, hashing, search, split, transform, unicode
 from ..functions.kernels import Classes, Costs
-from ..operators import collection, fingerprints, similarity
+from ..operators import collection, fingerprints, similarity, sketches
 from ..sources import collections as sources
 from ..sources.shared import new_folder
 from ..streaming import digests
@@ -342,6 +342,12 @@ def sample_n(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collection.sample(_table(spark, sf_dir, "documents").select("doc_id", "lang"), 300, 42, idx="doc_id")
 
 
+@query("SELECT row_number() OVER (ORDER BY k, c) - 1 AS idx, s FROM (SELECT 0 AS k, n_nationkey AS c, n_name AS s FROM nation UNION ALL SELECT 1, r_regionkey, r_name FROM region)")
+def append_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = sources.from_column(_table(spark, sf_dir, "nation"), "n_name", "n_nationkey"), sources.from_column(_table(spark, sf_dir, "region"), "r_name", "r_regionkey")
+    return sources.append(a, b)
+
+
 @query("SELECT doc_id, source, row_number() OVER (ORDER BY md5('42:' || doc_id), doc_id) - 1 AS position FROM documents")
 def shuffled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collection.shuffled(_table(spark, sf_dir, "documents").select("doc_id", "source"), 42, idx="doc_id", position="position")
@@ -540,6 +546,59 @@ def merge_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.merge(turns, "conv_id").select("conv_id", _numbers(F.col("hashes")).alias("hashes"), _numbers(F.col("counts")).alias("counts"))
 
 
+def _family_query(family: str, alphabet: str, size: int) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        items = _table(spark, sf_dir, "benchmark").select("item_id", fingerprints.fingerprints_by("text", family, (3, 5, 9, 500), alphabet, 11).alias("f"))
+        return items.select("item_id", _numbers(F.col("f.hashes")).alias("hashes"), _numbers(F.col("f.counts")).alias("counts"))
+
+    _QUERIES[f"minhash_{family}"] = run
+    _SQL[f"minhash_{family}"] = f"WITH {oracles.other_sketches('SELECT item_id AS id, text FROM benchmark', family, (3, 5, 9, 500), 11, size)} SELECT id AS item_id, {_SHOWN} FROM sketch GROUP BY id"
+
+
+for _family, _alphabet, _size_of in (("multiplying", "bytes", 256), ("rabin_karp", "ascii", 128), ("cyclic", "bytes", 256), ("single", "dna", 4)):
+    _family_query(_family, _alphabet, _size_of)
+
+
+@query(f"WITH {oracles.sketches("SELECT conv_id AS id, string_agg(text, '' ORDER BY turn) AS text FROM conversations GROUP BY 1", 5)} SELECT id AS conv_id, {_SHOWN} FROM sketch GROUP BY id")
+def fingerprint_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = fingerprints.fingerprints_of_chunks(_table(spark, sf_dir, "conversations"), "conv_id", "turn", "text", 5)
+    return f.select("conv_id", _numbers(F.col("hashes")).alias("hashes"), _numbers(F.col("counts")).alias("counts"))
+
+
+_TWICE = "SELECT 2 * item_id + k AS id, CASE k WHEN 0 THEN text ELSE substr(text, 21) END AS text FROM benchmark, range(2) t(k)"
+
+
+@query(f"""WITH {oracles.sketches(_TWICE, 32)}, whole AS (SELECT id, list(h ORDER BY d) AS hs FROM sketch GROUP BY id), few AS (SELECT hs, min(id) AS id FROM whole GROUP BY hs),
+bands AS (SELECT id, hs, i, hs[4 * i + 1 : 4 * i + 4] AS band FROM few, range(8) t(i))
+SELECT a.id AS a, b.id AS b, any_value(len(list_filter(range(32), lambda k: a.hs[k + 1] = b.hs[k + 1])) / 32) AS same FROM bands a JOIN bands b ON a.i = b.i AND a.band = b.band AND a.id < b.id GROUP BY ALL""")
+def lsh_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = _table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.array(F.col("text"), F.substring("text", 21, 1 << 30))).alias("k", "text"))
+    s = items.select((F.col("item_id") * 2 + F.col("k")).alias("id"), fingerprints.fingerprints("text", 32).alias("f")).select("id", F.col("f.hashes").alias("hashes"))
+    named = lambda x, h: s.select(F.col("id").alias(x), F.col("hashes").alias(h))
+    return fingerprints.candidates(s, "id").join(named("a", "ha"), "a").join(named("b", "hb"), "b").select("a", "b", fingerprints.similarity(F.col("ha"), F.col("hb")).alias("same"))
+
+
+_CELLS = 1 << 10
+_PLACED = f"WITH RECURSIVE words AS (SELECT p_name AS w, count(*) AS n, min(p_partkey) AS k FROM part GROUP BY 1), {oracles.hashes(f'SELECT 4 * k + i AS id, w AS text, list_extract({_SEEDS}::UBIGINT[], i + 1) AS seed FROM words, range(4) t(i)')}, placed AS (SELECT w, n, (id % 4)::INT AS row, (h % {_CELLS})::BIGINT AS cell FROM hashed JOIN words ON k = id // 4)"
+
+
+@query(_PLACED + " SELECT row, cell, sum(n)::BIGINT AS n FROM placed GROUP BY ALL")
+def count_min(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketches.count_min(_table(spark, sf_dir, "part"), "p_name", _CELLS, _SEEDS)
+
+
+@query(_PLACED + ", cells AS (SELECT row, cell, sum(n)::BIGINT AS n FROM placed GROUP BY ALL) SELECT w AS p_name, min(c.n) AS n FROM placed JOIN cells c USING (row, cell) GROUP BY 1")
+def count_min_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = _table(spark, sf_dir, "part")
+    return sketches.estimate(parts, "p_name", sketches.count_min(parts, "p_name", _CELLS, _SEEDS), _CELLS, _SEEDS)
+
+
+@query(_PLACED + ", held AS (SELECT DISTINCT cell FROM placed WHERE w < 'l') SELECT w AS p_name, bool_and(held.cell IS NOT NULL) AS found FROM placed LEFT JOIN held USING (cell) GROUP BY 1")
+def bloom_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = _table(spark, sf_dir, "part")
+    return sketches.might_contain(parts, "p_name", sketches.bloom(parts.where("p_name < 'l'"), "p_name", _CELLS, _SEEDS), _CELLS, _SEEDS)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

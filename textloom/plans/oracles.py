@@ -90,6 +90,44 @@ found AS (SELECT id, d, list_min(hs) AS least, len(list_filter(hs, lambda x: x =
 sketch AS (SELECT id, d, coalesce(least & 4294967295, 4294967295) AS h, coalesce(c, 0) AS c FROM (SELECT id, d FROM texts, dims) LEFT JOIN found USING (id, d))"""
 
 
+_MOD = f"% {_TWO64}"
+
+
+def _scrambled(x: str) -> str:
+    """The mixing function of a UHUGEINT below 2**64, as nested lists of one element, for want of local names."""
+    step = lambda inner, body: f"list_transform({inner}, lambda z: {body})"
+    out = f"[(({x}) + {0x9E3779B97F4A7C15}::UHUGEINT) {_MOD}]"
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        out = step(out, f"(xor(z, z >> {shift}::UHUGEINT) * {factor}::UHUGEINT) {_MOD}")
+    return step(out, "xor(z, z >> 31::UHUGEINT)") + "[1]"
+
+
+def other_sketches(source: str, family: str, widths: tuple[int, ...], seed: int, alphabet: int) -> str:
+    """CTEs that end in sketch (id, d, h, c), by another family of window hashes."""
+    horner = {
+        "multiplying": ("x.v::UHUGEINT", f"(a * m + b) {_MOD}"),
+        "rabin_karp": ("x.v::UHUGEINT + 1", "(a * m + b) % p"),
+        "single": ("x.v::UHUGEINT + 1", "(a * m + b) % p"),
+        "cyclic": ("tab[x.v + 1]", f"xor((a * 2) {_MOD} + (a >> 63::UHUGEINT), b)"),
+    }
+    m = {"multiplying": f"({alphabet + 1} + s % 256)", "rabin_karp": f"({alphabet} + s % 256)", "single": "(256 + s % 256)", "cyclic": "0"}[family] + "::UHUGEINT"
+    p = "0::UHUGEINT"
+    if family == "single":
+        p = f"(8123 - {_scrambled('s')} % 256)::UHUGEINT"
+    if family == "rabin_karp":  # odd, and without a common factor with the multiplier
+        top = "((4294967291 - 257) // m + 1)"
+        p = f"list_filter(list_transform(range(1000), lambda k: ({top} - ({top} + 1) % 2 - 2 * k::UHUGEINT)), lambda q: gcd(q::HUGEINT, m::HUGEINT) = 1)[1]"
+    table = f"list_transform(range(256), lambda i: {_scrambled(f'(s + i::UHUGEINT) {_MOD}')})" if family == "cyclic" else "NULL::UHUGEINT[]"
+    value, body = horner[family]
+    return f"""seeds AS (SELECT d, w, {_scrambled(f'({seed} + d)::UHUGEINT')} AS s FROM (SELECT unnest({list(range(len(widths)))}) AS d, unnest({list(widths)}) AS w)),
+multiplied AS (SELECT *, {m} AS m FROM seeds),
+dims AS (SELECT d, w, m, {p} AS p, {table} AS tab FROM multiplied),
+texts AS (SELECT id, {_bytes('text')} AS raw FROM ({source})),
+valued AS (SELECT id, d, w, m, p, list_transform(list_transform(raw, lambda v: {{'v': v}}), lambda x: {value}) AS vs FROM texts, dims),
+rolled AS (SELECT id, d, list_transform(range(len(vs) - w + 1), lambda i: list_reduce(vs[i + 1 : i + w], lambda a, b: {body})) AS hs FROM valued),
+sketch AS (SELECT id, d, coalesce((list_min(hs) % 4294967296::UHUGEINT)::BIGINT, 4294967295) AS h, len(list_filter(hs, lambda x: x = list_min(hs)))::BIGINT AS c FROM rolled)"""
+
+
 # Alignment with affine gaps: T is the best without a gap in the first text that ends here, F closes such gaps, E those in the second
 
 
