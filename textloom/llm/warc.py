@@ -95,8 +95,8 @@ def train_dictionary(df: DataFrame, payload: str = "html") -> bytes:
     """A dictionary trained on a bounded sample of payloads; empty if there are too few to train on."""
     import zstandard
 
-    # The same rows on every run, so that reruns make the same archives.
-    rows = df.where(F.length(payload) >= 64).select(F.encode(F.substring(payload, 1, SAMPLE_BYTES), "UTF-8").alias("x")).orderBy(F.xxhash64("x"), "x").limit(SAMPLE_ROWS).collect()
+    # Which rows is left to the scan, which so ends early; archives of two runs can differ, but not what is read back from them.
+    rows = df.where(F.length(payload) >= 64).select(F.encode(F.substring(payload, 1, SAMPLE_BYTES), "UTF-8")).limit(SAMPLE_ROWS).collect()
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, [bytes(r[0]) for r in rows], threads=0).as_bytes() if len(rows) >= 8 else b""
     except zstandard.ZstdError:
