@@ -27,6 +27,16 @@ def slice_bytes(x: Text, start: int | None = None, end: int | None = None) -> Co
     return F.substring(b, first + 1, F.greatest(last - first, F.lit(0)))
 
 
+def front(x: Text, end: int) -> Column:
+    """The bytes before end, which may count from the back."""
+    return slice_bytes(x, None, end)
+
+
+def back(x: Text, start: int) -> Column:
+    """The bytes from start on, which may count from the back."""
+    return slice_bytes(x, start)
+
+
 def byte_length(x: Text) -> Column:
     return F.octet_length(col(x)).cast("long")
 

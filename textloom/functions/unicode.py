@@ -136,6 +136,23 @@ def uncased_matches(x: Text, needle: str, overlapping: bool = False) -> Column:
     return per_value(lambda t: [{"offset": a, "length": n} for a, n in uncased_regions(t, needle, overlapping)], "array<struct<offset:bigint,length:bigint>>", x)
 
 
+class Needle:
+    """A needle for many caseless searches: what it is folded to, and whether it needs folding at all, is settled once."""
+
+    def __init__(self, text: str):
+        self.text, self.folded, self.cased = text, text.casefold(), any(map(is_cased, text))
+
+    def find(self, x: Text) -> Column:
+        """Code point offset of the first match, or -1. A needle without cased characters is found natively."""
+        return uncased_search(x, self.text) if self.cased else F.locate(self.text, col(x)).cast("long") - 1
+
+    def contains(self, x: Text) -> Column:
+        return uncased_contains(x, self.text)
+
+    def matches(self, x: Text, overlapping: bool = False) -> Column:
+        return uncased_matches(x, self.text, overlapping)
+
+
 def uncased_order(a: Text, b: Text) -> Column:
     """-1, 0 or 1: order of the folded texts' code points."""
     x, y = fold(a).cast("binary"), fold(b).cast("binary")

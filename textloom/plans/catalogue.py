@@ -192,6 +192,20 @@ def ctr_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", F.lower(F.hex(cipher.ctr_xor(F.unhex("text"), bytes.fromhex(key), bytes.fromhex(block[:24]), F.lit(first) + F.col("id") * 16))).alias("sealed"))
 
 
+_CHUNKS = [(0, 7), (7, 7), (7, 40), (40, 64)]  # bytes of a chunk of the message, one of them empty
+
+
+@query(cases.values([(i, cases.GCM[2][4][2 * a : 2 * b], cases.GCM[2][5], cases.GCM[2][2][2 * a : 2 * b], 0) for i, (a, b) in enumerate(_CHUNKS)], "seq", "sealed", "tag", "opened", "forged"))
+def gcm_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key, nonce, text, *_ = cases.GCM[2]
+    secret, nonce = bytes.fromhex(key), bytes.fromhex(nonce)
+    rows = _literal(spark, [(i, text[2 * a : 2 * b]) for i, (a, b) in enumerate(_CHUNKS)], "seq", "c").select(F.lit(1).alias("k"), "seq", F.unhex("c").alias("c"))
+    sealed = cipher.gcm_encrypt_chunks(rows, "k", "seq", "c", secret, nonce)
+    opened = cipher.gcm_decrypt_chunks(sealed, "k", "seq", "c", "tag", secret, nonce).where("verified").select("seq", F.lower(F.hex("c")).alias("opened"))
+    forged = cipher.gcm_decrypt_chunks(sealed.withColumn("c", F.when(F.col("seq") == 2, F.reverse(F.hex("c")).cast("binary")).otherwise(F.col("c"))), "k", "seq", "c", "tag", secret, nonce).select("seq", F.col("verified").cast("int").alias("forged"))
+    return sealed.select("seq", F.lower(F.hex("c")).alias("sealed"), F.lower(F.hex("tag")).alias("tag")).join(opened, "seq").join(forged, "seq")
+
+
 @query("SELECT conv_id, sha256(string_agg(text, '' ORDER BY turn)) AS digest FROM conversations GROUP BY conv_id")
 def chunk_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests.sha256_of_chunks(_table(spark, sf_dir, "conversations"), "conv_id", "turn", "text").withColumnRenamed("sha256", "digest")
@@ -274,6 +288,10 @@ simple("norm_malformed", "pages", "page_id", f"SELECT page_id, {_malformed_sql('
 simple("codepoints_malformed", "pages", "page_id", "SELECT page_id, concat(array_to_string(list_transform(string_split(url, ''), lambda c: unicode(c)), ','), ',65533,65533,201,8490') AS cps FROM pages", cps=lambda: _numbers(unicode.codepoints_bytes(_malformed())))
 simple("decode_malformed", "pages", "page_id", f"SELECT page_id, concat(url, chr(65533), chr(65533), '{_ACCENTED}') AS replaced, NULL::VARCHAR AS refused FROM pages", replaced=lambda: transform.decode(_malformed(), errors="replace"), refused=lambda: transform.decode(_malformed(), errors="ignore"))
 simple("delimiters_malformed", "pages", "page_id", "SELECT page_id, array_to_string(regexp_extract_all(url, '[\\pP\\pS\\pZ]'), '') AS parts FROM pages", parts=lambda: _joined(split.delimiters_bytes(_malformed()), ""))
+_CLASS_PATTERNS = {"letters": "[A-Za-z]", "digits": "[0-9]", "hex": "[0-9A-Fa-f]", "oct": "[0-7]", "punctuation": "[!-/:-@\\[-`{-~]", "whitespace": "[ \\t-\\r]", "printable": "[ -~\\t-\\r]", "controls": "[\\x00-\\x1F\\x7F]", "base64": "[A-Za-z0-9+/]"}
+simple("class_counts", "pages", "page_id", f"SELECT page_id, {', '.join(f"strlen(html) - strlen(regexp_replace(html, '{p}', '', 'g')) AS {c}" for c, p in _CLASS_PATTERNS.items())} FROM pages", **{c: lambda c=c: search.count_byteset("html", transform.CLASSES[c]) for c in _CLASS_PATTERNS})
+simple("fronts_and_backs", "pages", "page_id", "SELECT page_id, url[1:5] AS a, url[1:-4] AS b, url[4:] AS c, url[-6:] AS d FROM pages", a=lambda: transform.front("url", 5).cast("string"), b=lambda: transform.front("url", -3).cast("string"), c=lambda: transform.back("url", 3).cast("string"), d=lambda: transform.back("url", -6).cast("string"))
+simple("needles", "documents", "doc_id", "SELECT doc_id, instr(lower(text), 'tion') - 1 AS found_at, contains(lower(text), 'tion') AS hit, (length(text) - length(replace(lower(text), 'tion', ''))) // 4 AS n, instr(text, '. ') - 1 AS stop_at FROM documents", found_at=lambda: unicode.Needle("TiOn").find("text"), hit=lambda: unicode.Needle("TiOn").contains("text"), n=lambda: _size(unicode.Needle("TiOn").matches("text")), stop_at=lambda: unicode.Needle(". ").find("text"), spread=True)
 simple("word_break_classes", "benchmark", "item_id", "SELECT item_id, CASE WHEN regexp_matches(text, '^\\pL') THEN 'ALetter' WHEN regexp_matches(text, '^[0-9]') THEN 'Numeric' END AS first, CASE right(text, 1) WHEN '.' THEN 'MidNumLet' WHEN ',' THEN 'MidNum' WHEN ' ' THEN 'WSegSpace' WHEN chr(10) THEN 'LF' ELSE CASE WHEN regexp_matches(right(text, 1), '\\pL') THEN 'ALetter' ELSE 'Other' END END AS last FROM benchmark", first=lambda: unicode.word_break_property("text"), last=lambda: unicode.word_break_property(F.right("text", F.lit(1))))
 simple("class_predicates", "benchmark", "item_id", "SELECT item_id, contains(text, ' ') AS gap, false AS blank, regexp_full_match(text, '[\\x20-\\x7E\\t\\n\\r\\f\\v]*') AS shown, false AS with_bell FROM benchmark", gap=lambda: transform.is_space(F.expr("substring(text, instr(text, ' '), 1)")), blank=lambda: transform.is_space("text"), shown=lambda: transform.is_printable("text"), with_bell=lambda: transform.is_printable(F.concat("text", F.lit("\x07"))))
 simple("word_properties", "benchmark", "item_id", "SELECT item_id, regexp_matches(text, '^[\\pL\\pN_]') AS word FROM benchmark", word=lambda: unicode.is_word_char("text"))
@@ -342,6 +360,11 @@ def sample_n(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collection.sample(_table(spark, sf_dir, "documents").select("doc_id", "lang"), 300, 42, idx="doc_id")
 
 
+@query("SELECT c_custkey FROM customer ORDER BY c_mktsegment, c_custkey LIMIT 25 OFFSET 40")
+def limit_and_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collection.sort(_table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), "c_mktsegment", "c_custkey").offset(40).limit(25).select("c_custkey")
+
+
 @query("SELECT row_number() OVER (ORDER BY k, c) - 1 AS idx, s FROM (SELECT 0 AS k, n_nationkey AS c, n_name AS s FROM nation UNION ALL SELECT 1, r_regionkey, r_name FROM region)")
 def append_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = sources.from_column(_table(spark, sf_dir, "nation"), "n_name", "n_nationkey"), sources.from_column(_table(spark, sf_dir, "region"), "r_name", "r_regionkey")
