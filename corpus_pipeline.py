@@ -1,7 +1,7 @@
 """The training-data pipeline: each stage works on all that its predecessor kept, and its decisions take effect.
 
-All stages but the last return the columns of ``documents``. Rows that share an id are one document: they stay or go
-together. Null and empty texts pass every filter and are encoded as no tokens.
+All stages but the last return the columns of ``documents``. Toxicity judges every row by its text, so rows that share an id but not a text
+can be parted there; near duplicates judge ids, so rows that share an id stay or go together. Null and empty texts pass every filter and are encoded as no tokens.
 """
 
 from __future__ import annotations
