@@ -12,8 +12,8 @@ taken at random but from the places where distances are below 1:
   distances to it are computed; members within EPS are linked to it. Such stars are joined to components.
 * A pair matters in the region of the first shingle it shares only, where sizes and places bound what it can share.
 * Regions whose members are one component by now are done: their other links join what is joined already. The others
-  are handled recursively: of the members outside the region's largest component, a number become pivots and are
-  compared with all members outside their own component that lie in the window |d(x, first) - d(pivot, first)| <= EPS,
+  are handled recursively: of the members outside the region's largest component, a number become pivots, twice as many each
+  time, and are compared with all members outside their own component that lie in the window |d(x, first) - d(pivot, first)| <= EPS,
   then leave the region. This goes on until every region is one component or has no pair left.
 
 Every pair with a shared prefix shingle is thus linked by its distance, excluded by size, position or window, or in one
@@ -28,13 +28,13 @@ table; further columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
-from pyspark.sql.window import Window
 
 from . import scratch
 from .components import components
@@ -253,7 +253,7 @@ def _id_filter(ids: DataFrame) -> np.ndarray:
     found = mapped(ids, run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     out = np.zeros(FILTER >> 6, np.uint64)
     out[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
-    while len(out) > 1024 and int(np.bitwise_count(out).sum()) < len(out):  # a 64th of the bits
+    while len(out) > 1024 and 8 * int(np.bitwise_count(out).sum()) < len(out):  # at most one set in 256 is shipped in vain
         out = out[: len(out) // 2] | out[len(out) // 2 :]
     return out
 
@@ -295,6 +295,7 @@ def _regions(spark, rows: DataFrame, classes: DataFrame, k: int, threshold: Frac
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = scratch.table(regions(posted.repartition(n, "token", "part").sortWithinPartitions("token", "part", "pos", "doc"), parts), "regions")
     scratch.release(levels, parts, wanted)
+    scratch.sweep(spark)
     apart = found.where("split").drop("split")
     if apart.isEmpty():
         return found.drop("split"), [found]
@@ -330,6 +331,7 @@ def _link(spark, rows: DataFrame, found: DataFrame, made: list[DataFrame], k: in
     met = scratch.table(found.where((F.col("doc") != F.col("ldoc")) & _possible(threshold, F.col("n"), F.col("ln"), F.col("pos"), F.col("lpos"))).groupBy("doc", "ldoc").agg(F.count("*").alias("rows")), "met")
     best = scratch.table(met.groupBy("doc").agg(F.max_by("ldoc", F.struct("rows", -F.col("ldoc"))).alias("ldoc")).select(*_pair("doc", "ldoc")).distinct(), "pairs")
     known = measure(best, members)
+    scratch.sweep(spark)
     labels = components(linked(known).unionByName(extra))
     rest = scratch.table(apart(met.select(*_pair("doc", "ldoc")).distinct().join(known.select("x", "p"), ["x", "p"], "left_anti"), labels), "pairs")
     if not rest.isEmpty():
@@ -342,7 +344,7 @@ def _link(spark, rows: DataFrame, found: DataFrame, made: list[DataFrame], k: in
     # A region's first pivot is linked with its members, apart from them, or in one component by now.
     left = scratch.table(found.where(F.col("doc") != F.col("ldoc")).select("token", "doc", "n", "pos", "ldoc"), "left")
     scratch.release(*made)
-    while True:
+    for level in itertools.count():
         marked = left.join(labels.select(F.col("node").alias("doc"), "label"), "doc", "left").select("token", "doc", "n", "pos", "ldoc", F.coalesce("label", "doc").alias("part"))
         marked = scratch.table(marked, "marked")
         mixed = scratch.table(marked.groupBy("token").agg(F.min("part").alias("u"), F.max("part").alias("v")).where("u < v").select("token"), "mixed")
@@ -354,12 +356,13 @@ def _link(spark, rows: DataFrame, found: DataFrame, made: list[DataFrame], k: in
         if active.isEmpty():
             scratch.release(active, members, known)
             return labels
-        main = scratch.table(active.groupBy("token", "part").agg(F.count("*").alias("rows")).groupBy("token").agg(F.max_by("part", F.struct("rows", "part")).alias("main"), F.sum("rows").alias("members")), "main")
-        others = active.join(main, "token").where("part <> main")
-        # Small regions are done at once, large ones a number of pivots at a time.
-        most = F.greatest(F.lit(PIVOTS), F.floor(F.lit(EXAMINED) / F.col("members")))
-        ranked = others.withColumn("nth", F.row_number().over(Window.partitionBy("token").orderBy("pos", "doc"))).where(F.col("nth") <= EXAMINED)
-        chosen = ranked.where(F.col("nth") <= most)
+        parts = active.groupBy("token", "part").agg(F.count("*").alias("rows")).groupBy("token")
+        main = scratch.table(parts.agg(F.max_by("part", F.struct("rows", "part")).alias("main"), F.sum("rows").alias("members"), (F.sum("rows") - F.max("rows")).alias("others")), "main")
+        # Small regions are done at once, large ones a number of pivots at a time: a share of the members outside the main component, by
+        # hash, so that no region is ranked in one task. The number doubles each time, so the rounds are few however large a region is.
+        most = F.greatest(F.lit(PIVOTS << level), F.floor(F.lit(EXAMINED) / F.col("members")))
+        share = F.ceil(F.col("others") / most)
+        chosen = active.join(main, "token").where((F.col("part") != F.col("main")) & (F.pmod(F.xxhash64("doc", F.lit(level)), share) == 0))
         pivots = scratch.table(chosen.select("token", F.col("doc").alias("pivot"), F.col("n").alias("pn"), F.col("pos").alias("ppos"), F.col("d").alias("pd"), F.col("part").alias("ppart")), "pivots")
         window = F.coalesce(F.abs(F.col("d") - F.col("pd")) <= eps, F.lit(True))
         both = active.join(pivots, "token").where((F.col("part") != F.col("ppart")) & (F.col("doc") != F.col("pivot")) & window & _possible(threshold, F.col("n"), F.col("pn"), F.col("pos"), F.col("ppos")))

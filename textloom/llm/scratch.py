@@ -13,6 +13,7 @@ import atexit
 import contextlib
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.core.broadcast import Broadcast
@@ -63,7 +64,9 @@ def sweep(spark: SparkSession) -> None:
     """Lets go of what finished jobs left with the executors: their shuffle files, broadcast tables and configurations are removed when
     the driver collects its garbage, which it hardly does while many small jobs run."""
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what Python held is free for the driver's JVM a moment later
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def drop(spark: SparkSession, path: str) -> None:
