@@ -38,6 +38,8 @@ W, ANCHOR = 20, 8
 FILTER = 1 << 26
 #: Runs of an anchor beyond which its windows are dealt out one by one, and runs in a shard.
 HOT, SHARD = 2000, 4000
+#: Runs that a task remembers.
+SEEN = 200_000
 _NULL_ID = -(1 << 63)
 
 
@@ -103,9 +105,11 @@ def _repeated(rows: DataFrame, w: int, k: int) -> np.ndarray:
 
 
 def _occurrences(rows: DataFrame, w: int, k: int, wanted) -> DataFrame:
-    """h, rh (hash of the run's words), doc, th, pos (first word in the document), n (windows), words (the run's text)."""
+    """h, rh (hash of the run's words), doc, th, pos (first word in the document), n (windows), words (the run's text, which a task
+    gives only once for most equal runs)."""
 
     def run(batches):
+        seen: set[int] = set()
         for batch in batches:
             ids, hashes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for c in chunks(batch.column(2)):
@@ -119,6 +123,12 @@ def _occurrences(rows: DataFrame, w: int, k: int, wanted) -> DataFrame:
                 raw, doc = c.raw.tobytes(), c.doc[starts]
                 words = [b" ".join(raw[i:j].split()) for i, j in zip(a.tolist(), b.tolist(), strict=True)]
                 rh = [int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "big", signed=True) for x in words]
+                for i, x in enumerate(rh):
+                    if x in seen:
+                        words[i] = None
+                    seen.add(x)
+                if len(seen) > SEEN:
+                    seen.clear()
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(rh, pa.int64()), pa.array(ids[c.first + doc]), pa.array(hashes[c.first + doc]), pa.array((starts - c.first_word[doc]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(words, pa.binary())], names=["h", "rh", "doc", "th", "pos", "n", "words"])
 
     return mapped(rows.select("doc", "th", "text"), run, "h long, rh long, doc long, th long, pos int, n int, words binary")
@@ -248,24 +258,26 @@ def spans(rows: DataFrame, w: int = W, k: int = ANCHOR) -> DataFrame:
     wanted = spark.sparkContext.broadcast(_repeated(rows, w, k))
     found = scratch.table(_occurrences(rows, w, k, wanted), "occurrences")
     scratch.release(wanted)
-    owners = scratch.table(found.groupBy("h", "rh").agg(F.min(F.struct("doc", "th", "pos")).alias("o")).select("h", "rh", F.col("o.doc").alias("od"), F.col("o.th").alias("ot"), F.col("o.pos").alias("op")), "owners")
-    own = (F.col("doc") == F.col("od")) & (F.col("th") == F.col("ot")) & (F.col("pos") == F.col("op"))
-    # Rows that are one document (equal id and text) have the same runs; one is enough.
-    copies = found.select("h", "rh", "doc", "th", "pos", "n").join(owners, ["h", "rh"]).where(~own).select("doc", "th", F.col("pos").alias("a"), (F.col("pos") + F.col("n") + (w - 1)).cast("int").alias("b")).distinct()
-    firsts = found.join(owners.select("h", F.col("od").alias("doc"), F.col("ot").alias("th"), F.col("op").alias("pos")), ["h", "doc", "th", "pos"], "left_semi")
-    firsts = scratch.table(firsts.dropDuplicates(["h", "doc", "th", "pos"]).select(F.col("h").alias("route"), "doc", "th", "pos", "words"), "runs")
-    per = firsts.groupBy("route").agg(F.count("*").alias("runs"))
+    # The earliest of equal runs is their owner; its words come along in the same aggregation.
+    first = found.groupBy("h", "rh").agg(F.min(F.struct("doc", "th", "pos")).alias("o"), F.max("words").alias("words"))
+    firsts = scratch.table(first.select("h", "rh", "o.doc", "o.th", "o.pos", "words"), "runs")
+    scratch.sweep(spark)
+    owners = firsts.select("h", "rh", F.struct("doc", "th", "pos").alias("owner"))
+    later = found.select("h", "rh", "doc", "th", "pos", "n").join(owners, ["h", "rh"]).where(F.struct("doc", "th", "pos") != F.col("owner"))
+    copies = later.select("doc", "th", F.col("pos").alias("a"), (F.col("pos") + F.col("n") + (w - 1)).cast("int").alias("b"))
+    per = firsts.groupBy("h").agg(F.count("*").alias("runs"))
     shards = max(64, -(-firsts.count() // SHARD))
-    hot = scratch.table(per.where(F.col("runs") > HOT).select("route"), "hot-anchors")
-    dealt = firsts.join(hot, "route", "left_anti").withColumn("shard", F.pmod(F.xxhash64("route"), F.lit(shards)))
+    hot = scratch.table(per.where(F.col("runs") > HOT).select("h"), "hot-anchors")
+    dealt = firsts.join(hot, "h", "left_anti").withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards)))
     matched = dealt.select("shard", "doc", "th", "pos", "words").groupBy("shard").applyInArrow(_shard_kernel(w), "doc long, th long, a int, b int")
-    made = [found, owners, firsts, hot]
+    made = [found, firsts, hot]
     if not hot.isEmpty():
-        cut = scratch.table(mapped(firsts.join(hot, "route").select("doc", "th", "pos", "words"), lambda b: _windows(b, w), "window binary, doc long, th long, pos int"), "windows")
+        cut = scratch.table(mapped(firsts.join(hot, "h").select("doc", "th", "pos", "words"), lambda b: _windows(b, w), "window binary, doc long, th long, pos int"), "windows")
         matched = matched.unionByName(_later(cut, w))
         made.append(cut)
-    out = scratch.table(matched.unionByName(copies).groupBy("doc", "th").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "spans")
+    out = scratch.table(matched.unionByName(copies).groupBy("doc", "th").agg(F.collect_set(F.struct("a", "b")).alias("spans")), "spans")
     scratch.release(*made)
+    scratch.sweep(spark)
     return out
 
 
