@@ -286,6 +286,28 @@ def test_langid(docs, empty):
     assert {r.lang_pred for r in langid.predict(docs, langid.fit(empty)).collect()} == {"und"}
 
 
+def test_margins_and_decoding_like_plain_loops(spark, docs, monkeypatch):
+    import math
+
+    monkeypatch.setattr(langid, "STEP", 1000)  # long texts are looked up in parts
+    model = langid.fit(docs)
+    got = {(r.doc_id, r.lang_pred, round(r.score, 6)) for r in langid.predict(docs, model).where("lang_pred <> 'und'").collect()}
+    want = set()
+    for i, t, *_ in ROWS:
+        raw = np.frombuffer((t or "").encode(), np.uint8)
+        if not any(c.isalpha() for c in t or ""):
+            continue
+        sums = [0.0] * len(model.loss)
+        for f in langid._features(raw).tolist():
+            sums = [a + float(b) for a, b in zip(sums, model.weights[f], strict=True)]
+        margins = [max(-4, min(4, x / max(len(raw) - 2, 1))) for x in sums]
+        cost = [sum(w * math.log1p(math.exp(-4 * m * c)) for m, c, w in zip(margins, word, model.loss, strict=True)) for word in model.code.tolist()]
+        share = [math.exp(min(cost) - c) for c in cost]
+        want.add((i, model.langs[cost.index(min(cost))], round(1 / sum(share), 6)))
+    assert {x[:2] for x in got} == {x[:2] for x in want}
+    assert all(min(abs(s - v) for a, b, v in want if (a, b) == (i, n)) < 1e-4 for i, n, s in got)
+
+
 def test_codewords_differ():
     for n in (2, 3, 4, 9, 40):
         code = langid.codewords(n)

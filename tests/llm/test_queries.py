@@ -97,7 +97,10 @@ def test_op3(spark, texts):
         ws = (texts[r.doc_id] or "").encode().split()
         n = Counter(tuple(ws[i : i + 8]) for i in range(len(ws) - 7))
         hit = {j for i in range(len(ws) - 7) if n[tuple(ws[i : i + 8])] > 1 for j in range(i, i + 8)}
+        lines = [x for x in (texts[r.doc_id] or "").split("\n") if x.strip(" \t\n\x0b\f\r")]
         assert (r.n_words, r.n_repeat_words, r.base_failed) == (len(ws), len(hit), len(ws) < 20 or 100 * len(hit) > 30 * len(ws))
+        assert (r.word_chars, r.n_symbols, r.n_dup_lines) == (sum(len(w.decode()) for w in ws), sum(c in "#*$%&|<>" for c in texts[r.doc_id] or ""), len(lines) - len(set(lines)))
+        assert not (r.base_failed and r.kept)
     quality = {r.doc_id: r.quality for r in spark.read.parquet(f"{MEDIUM}/labels.parquet").collect()}
     clean = [r for r in registry.queries()["op3_quality"](spark, MEDIUM).collect() if quality.get(r.doc_id) == 1 and not r.base_failed]
     assert sum(r.kept for r in clean) >= 0.99 * len(clean)

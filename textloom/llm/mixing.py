@@ -22,6 +22,8 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 from pyspark.sql.window import Window
 
+from . import scratch
+
 WEIGHTS, SHARE, MOST, SEED = (5, 2, 1), 1.5, 2, "mix"
 STEP, STEPS = 32, 4096
 _KEY = ["s0", "s"]
@@ -58,7 +60,8 @@ def mix(df: DataFrame, size, key: str = "doc_id", source: str = "source", keep:
     keep = [c for c in keep or [] if c != key]
     rows = df.select(F.col(key).alias("k"), size.cast("long").alias("size"), F.col(source).isNull().alias("s0"), F.coalesce(F.col(source), F.lit("")).alias("s"), *(F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)))
     rows = rows.withColumn("step", F.least(F.floor(F.col("size") / STEP), F.lit(STEPS)).cast("long")).withColumn("bucket", _hex(F.coalesce(F.col("k").cast("string"), F.concat(F.lit("size "), F.col("size"))), 2))
-    cells = rows.groupBy(*_CELL).agg(F.count("*").alias("n"), F.sum("size").alias("words"))
+    # A few thousand rows for each source, read twice below; so sizes are counted twice, not three times.
+    cells = scratch.table(rows.groupBy(*_CELL).agg(F.count("*").alias("n"), F.sum("size").alias("words")), "cells")
     steps = cells.groupBy(*_KEY, "step").agg(F.sum("n").alias("n"), F.sum("words").alias("words"))
     sizes = steps.groupBy(*_KEY).agg(F.sum("words").alias("source_size"))
     goal = targets(sizes, weights, share, most).withColumn("ratio", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))).withColumn("offset", _hex(F.concat(F.lit(seed + ":"), "s"), 8) / F.lit(4294967296.0))
