@@ -522,3 +522,26 @@ def test_five_words_and_other_thresholds(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.component_id for r in jaccard.join(df, k=5, threshold=Fraction(4, 5)).collect()} == {0}
     assert len({r.component_id for r in jaccard.join(df, k=5, threshold=Fraction(19, 20)).collect()}) == 12
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from textloom.llm import scratch
+
+    context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda name, default: default), sparkContext=context)
+    with pytest.raises(ValueError, match="checkpoint"):
+        scratch.shared_dir(session)
+
+
+def test_slices_are_small_and_whole():
+    import pyarrow as pa
+
+    from textloom.llm import workers
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array(["x" * (i % 50) for i in range(999)] + ["y" * 100_000]), pa.array([[i] * (i % 7) for i in range(1000)])], names=["a", "b", "c"])
+    parts = list(workers.slices(batch, 5000))
+    assert pa.Table.from_batches(parts).to_pydict() == batch.to_pydict()
+    assert all(p.num_rows == 1 or p.nbytes <= 5000 for p in parts) and len(parts) > 10
+    assert [p.num_rows for p in workers.slices(batch.slice(0, 0), 10)] == [0]
