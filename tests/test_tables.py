@@ -206,3 +206,13 @@ def test_catalogue_matches_sql(spark):
             assert sorted(map(tuple, got), key=str) == sorted(want, key=str), name
         else:
             assert got, name
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from textloom.sources import shared
+
+    context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared.folder(SimpleNamespace(conf=SimpleNamespace(get=lambda name, default: default), sparkContext=context))
