@@ -37,7 +37,7 @@ W, ANCHOR = 20, 8
 #: Bits of the filter of repeated anchors; 8 MB.
 FILTER = 1 << 26
 #: Runs of an anchor beyond which its windows are dealt out one by one, and runs in a shard.
-HOT, SHARD = 2000, 4000
+HOT, SHARD = 1000, 1000
 #: Runs that a task remembers.
 SEEN = 200_000
 _NULL_ID = -(1 << 63)
